@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixtures import season_year
 from ..functions.probability import label_probability, log_loss, vector
+from ..plans.ordered import ranked
 
 
 def same_events(df: DataFrame, keys: list[str], models: list[str]) -> DataFrame:
@@ -29,3 +32,123 @@ def model_table(df: DataFrame, models: list[str]) -> DataFrame:
     return tall.groupBy("sport", "model").agg(
         F.count(F.lit(1)).alias("own_games"), F.count_if("shared").alias("shared_games"),
         F.avg("loss").alias("own_loss"), F.avg(F.when(F.col("shared"), F.col("loss"))).alias("shared_loss"))
+
+
+def match_records(records: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Match price records to events by teams plus event id, instant or local date; accept only a single candidate.
+
+    ``records``: record_id, home_key, away_key, game_id, start_time, local_date, zone, game_number (nulls allowed).
+    ``fixtures``: game_id, home_key, away_key, start_time.
+
+    Each kind of record joins on its full key, and fixtures that share (teams, instant) are counted before the join,
+    so a popular pairing never multiplies records by all its events. A game number picks the n-th candidate by
+    (start, id): the instant holding it is found from the counts, and only then is the event looked up by its place.
+    """
+    teams = ["home_key", "away_key"]
+    slots = fixtures.groupBy(*teams, F.col("start_time").alias("instant")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("game_id").alias("slot_id"))
+    by_id = records.where("game_id is not null")
+    by_time = records.where("game_id is null and start_time is not null")
+    by_date = records.where("game_id is null and start_time is null")
+
+    exact = fixtures.select(F.col("game_id").alias("_id"), *[F.col(t).alias(f"_{t}") for t in teams],
+                            F.col("start_time").alias("instant"))
+    local = F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("instant")).cast("date")
+    fits = F.coalesce(F.when(F.col("start_time").isNotNull(), F.col("instant") == F.col("start_time"))
+                      .when(F.col("local_date").isNotNull(), local == F.col("local_date")), F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(t) == F.col(f"_{t}") for t in teams])
+    id_rows = by_id.join(exact, by_id["game_id"] == exact["_id"], "left").select(
+        *[by_id[c] for c in by_id.columns], F.when(same & fits, F.struct(
+            "instant", F.lit(1).cast("long").alias("events"), F.col("_id").alias("slot_id"))).alias("slot"))
+    slot = F.struct("instant", "events", "slot_id").alias("slot")
+    time_rows = by_time.join(slots.withColumn("start_time", F.col("instant")), [*teams, "start_time"], "left").select(
+        *by_time.columns, F.when(F.col("instant").isNotNull(), slot).alias("slot"))
+    near = by_date.withColumn("utc_day", F.explode(F.sequence(F.date_sub("local_date", 1), F.date_add("local_date", 1))))
+    dated = near.join(slots.withColumn("utc_day", F.col("instant").cast("date")), [*teams, "utc_day"], "left")
+    date_rows = dated.select(*by_date.columns, F.when(local == F.col("local_date"), slot).alias("slot"))
+
+    rows = id_rows.unionByName(time_rows).unionByName(date_rows)
+    keys = [c for c in records.columns if c != "game_id"]
+    found = rows.groupBy("record_id").agg(
+        *[F.any_value(c).alias(c) for c in records.columns if c != "record_id"],
+        F.array_sort(F.array_compact(F.collect_list("slot"))).alias("slots"))
+    total = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + s["events"])
+    before = F.transform(F.sequence(F.lit(1), F.size("slots")), lambda i: F.aggregate(
+        F.slice("slots", 1, i - 1), F.lit(0).cast("long"), lambda a, s: a + s["events"]))
+    place = F.when((F.col("game_number").isNotNull()) & (total > 1), F.col("game_number"))
+    placed = F.filter(F.arrays_zip(F.col("slots").alias("s"), before.alias("b")),
+                      lambda x: (x["b"] < place) & (place <= x["b"] + x["s"]["events"]))
+    counted = found.select(
+        *keys, F.col("game_id").alias("asked_id"), total.alias("total"),
+        F.when(place.isNotNull(), F.try_element_at(placed, F.lit(1))["s"]).when(
+            total == 1, F.try_element_at("slots", F.lit(1))).alias("slot"),
+        F.when(place.isNotNull(), place - F.try_element_at(placed, F.lit(1))["b"]).alias("nth"))
+    simple = counted.where("nth is null or slot.events = 1").withColumn("matched_id", F.col("slot.slot_id"))
+    shared = counted.where("nth is not null and slot.events > 1")
+    ordered = _numbered_events(fixtures, slots)
+    deep = shared.withColumn("instant", F.col("slot.instant")).join(ordered, [*teams, "instant", "nth"]).drop("instant")
+    out = simple.unionByName(deep.select(*counted.columns, "matched_id"))
+    candidates = F.when(place_applies(), F.when(F.col("slot").isNotNull(), 1).otherwise(0)).otherwise(F.col("total"))
+    how = (F.when(F.col("asked_id").isNotNull(), "game_id").when(F.col("start_time").isNotNull(), "start_time")
+           .when(F.col("game_number").isNotNull(), "date_and_game_number").otherwise("unique_team_date"))
+    hit = candidates == 1
+    return out.select(
+        "record_id", F.when(hit, F.col("matched_id")).alias("game_id"),
+        F.when(hit, "matched").when(candidates == 0, "unmatched_fixture").otherwise("ambiguous_fixture").alias("status"),
+        F.when(hit, how).alias("matched_by"))
+
+
+def place_applies() -> Column:
+    return F.col("game_number").isNotNull() & (F.col("total") > 1)
+
+
+def _numbered_events(fixtures: DataFrame, slots: DataFrame) -> DataFrame:
+    """Position of every event inside its (teams, instant) slot, for slots that hold several."""
+    teams = ["home_key", "away_key"]
+    several = slots.where("events > 1").select(*teams, "instant")
+    rows = fixtures.withColumn("instant", F.col("start_time")).join(several, [*teams, "instant"], "left_semi")
+    numbered = ranked(rows.select("game_id", *teams, "instant"), [*teams, "instant"], [F.col("game_id")], "nth")
+    return numbered.select(*teams, "instant", F.col("nth").cast("int").alias("nth"), F.col("game_id").alias("matched_id"))
+
+
+def merge_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming rows replace rows with the same id; a soccer pairing is unique per season, so a moved date replaces.
+
+    Two keyed maxima with map-side combine; nothing is sorted.
+    """
+    both = existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)))
+    rest = [c for c in both.columns if not c.startswith("_")]
+    alternate = F.when(F.col("sport") == "soccer", F.concat_ws(
+        "|", "league", season_year(F.col("start_time")).cast("string"), "home_key", "away_key")).otherwise(
+        F.col("game_id").cast("string"))
+    newest = F.struct("_seq", "start_time", "game_id")
+    step = both.groupBy(alternate.alias("_alt")).agg(F.max_by(F.struct(*rest), newest).alias("_r"),
+                                                     F.max("_seq").alias("_seq")).select("_r.*", "_seq")
+    return step.groupBy("game_id").agg(F.max_by(F.struct(*[c for c in rest if c != "game_id"]),
+                                                F.struct("_seq", "start_time")).alias("_r")).select("game_id", "_r.*")
+
+
+def history_union(history: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Union of old and new rows with the number of times each key occurs."""
+    both = history.withColumn("origin", F.lit("history")).unionByName(fresh.withColumn("origin", F.lit("fresh")))
+    return both.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.min("origin").alias("origin"))
+
+
+def matrix_complete(rows: DataFrame, unit: str, levels: dict[str, list]) -> DataFrame:
+    """Cells of units x levels that do not occur exactly once: missing, duplicate or unexpected.
+
+    The levels are a short declared list, so each unit's missing cells come from an array difference, not a join.
+    """
+    names = list(levels)
+    cell = F.struct(*names)
+    counted = rows.groupBy(unit, *names).agg(F.count(F.lit(1)).alias("n"))
+    expected = F.array(*[F.struct(*[F.lit(v).cast(rows.schema[n].dataType).alias(n) for n, v in zip(names, combo)])
+                         for combo in product(*levels.values())])
+    known = reduce(lambda a, b: a & b, [F.col(n).isin(v) for n, v in levels.items()])
+    odd = counted.where((F.col("n") > 1) | ~known).select(
+        unit, *names, F.when(known, "duplicate").otherwise("unexpected").alias("problem"))
+    # Only declared cells are collected, so a unit's list is no longer than the declaration.
+    present = counted.groupBy(unit).agg(F.collect_list(F.when(known, cell)).alias("cells"))
+    missing = present.select(unit, F.inline(F.array_except(expected, F.col("cells")))).withColumn(
+        "problem", F.lit("missing"))
+    return odd.unionByName(missing)
