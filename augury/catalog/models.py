@@ -1 +1,69 @@
+"""Spark ML jobs. Fitted coefficients have no SQL counterpart, so these are checked by tests, not by SQL."""
 
+from pyspark.sql import functions as F
+
+from ..operators import asof, models, rating, resample
+from ..plans.session import stable
+from .registry import query
+
+FOLDS = [("f1", "1998-01-01", "1998-04-01"), ("f2", "1999-01-01", "1999-04-01")]
+SIDES = ["elo", "form", "win_rate", "avg_margin", "rest_days"]
+
+
+def _features(t, sport="baseball"):
+    games = t.games()
+    rows = asof.pregame_features(games, rating.team_ratings(games))
+    return rows.where(F.col("label") >= 0).where(F.col("sport") == sport if sport else F.lit(True))
+
+
+@query("logistic_grid")
+def _(t):
+    rows = asof.sweep_features(t.games()).where("sport = 'baseball' AND status = 'final' AND outcome IN (0, 2)")
+    folded = resample.rolling_folds(rows, FOLDS).where("role <> 'embargoed'").withColumn("y", (F.col("outcome") == 0).cast("int"))
+    base = ["rate_pooled", "games_pooled", "margin_pooled"]
+    configs = {f"w{w}-pooled-capped": [f"{s}_{n}" for s in ("home", "away") for n in (f"form_{w}_pooled", *base, "rest_capped")]
+               for w in (5, 20)}
+    used = sorted({c for names in configs.values() for c in names})
+    out = models.grid(folded.select("fold", "role", "y", *used), configs, [f[0] for f in FOLDS], [0.01, 1.0])
+    return out.select("config", "c", "folds", "n", F.round("log_loss", 6).alias("log_loss"),
+                      F.round("accuracy", 6).alias("accuracy"), "converged")
+
+
+@query("quality_interval")
+def _(t):
+    rows = _features(t)
+    day = F.col("start_time").cast("date")
+    return models.quality_interval(rows, [f"home_{c}" for c in SIDES], [f"away_{c}" for c in SIDES], day,
+                                   (F.col("label") == 0).cast("int"), 0.1, 10, 20260913)
+
+
+@query("readout_fit")
+def _(t):
+    rows = stable(_features(t).withColumns({f"d_{c}": F.col(f"home_{c}") - F.col(f"away_{c}") for c in SIDES}))
+    train = F.col("start_time") < F.lit("1999-01-01").cast("timestamp_ntz")
+    return models.readout(rows, [f"d_{c}" for c in SIDES], (F.col("label") == 0).cast("int"), train, 0.01, False)
+
+
+_NAMES = [f"{s}_{c}" for s in ("home", "away") for c in SIDES]
+
+
+def _split(df):
+    return df.withColumn("outcome", F.col("label")), F.col("start_time") < F.lit("1999-01-01").cast("timestamp_ntz")
+
+
+@query("sport_readout")
+def _(t):
+    rows, train = _split(_features(t, sport=None))
+    return models.sport_readouts(rows.select("sport", "outcome", "start_time", *_NAMES), _NAMES, train, 0.1)
+
+
+@query("shuffle_control")
+def _(t):
+    rows, train = _split(_features(t, sport=None))
+    rows = stable(rows.select("game_id", "sport", "outcome", "start_time", *_NAMES))
+    mixed = resample.block_shuffle(rows.where(train), ["sport"], "game_id", "991", ["outcome"]).select("game_id", "shuffled_outcome")
+    control = rows.join(mixed, "game_id", "left").withColumn("outcome", F.coalesce("shuffled_outcome", "outcome"))
+    fits = {"true_labels": rows, "shuffled_labels": control}
+    parts = [models.sport_readouts(df.select("sport", "outcome", "start_time", *_NAMES), _NAMES, train, 0.1)
+             .withColumn("arm", F.lit(name)) for name, df in fits.items()]
+    return parts[0].unionByName(parts[1])

@@ -50,7 +50,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "ra
 
 
 def hash_ranked(df: DataFrame, group: list[str], digest: str, tie: list[str], rank: str = "rank",
-                width: int = 2) -> DataFrame:
+                width: int = 3) -> DataFrame:
     """Rank by a hex digest. The first ``width`` digits split a group evenly, so no sampling is needed."""
     rows = df.withColumn("_slice", F.substring(digest, 1, width))
     return _with_offsets(rows, group, "_slice", [F.col(digest), *[F.col(t) for t in tie]], {}, rank)
