@@ -1 +1,157 @@
+"""File scans. Each query lands files derived from the given tables, then scans them."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import checks
+from ..plans.session import shared_folder
+from ..sources import ingest, sinks
+from .registry import query, r6
+
+
+def landing(t, name):
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_CSV = [
+    ("Date", "CASE WHEN o_orderkey % 61 = 0 THEN '31/02/2020' WHEN o_orderkey % 67 = 1 THEN NULL ELSE date_format(o_orderdate, 'dd/MM/yyyy') END"),
+    ("Time", "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'noon' ELSE concat(12 + o_orderkey % 9, ':30') END"),
+    ("HomeTeam", "CASE WHEN o_orderkey % 71 = 3 THEN NULL WHEN o_custkey % 4 = 0 THEN 'Man. City & Co' ELSE concat('Club ', o_custkey % 9) END"),
+    ("AwayTeam", "concat('Town ', o_orderkey % 7)"),
+    ("FTR", "CASE o_orderstatus WHEN 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN ' d ' ELSE 'A' END WHEN 'P' THEN 'X' END"),
+    ("FTHG", "CAST(o_custkey % 5 AS STRING)"), ("FTAG", "CASE WHEN o_custkey % 13 = 0 THEN 'n/a' ELSE CAST(o_orderkey % 5 AS STRING) END"),
+    ("B365H", "CAST(1 + (o_orderkey % 30) / 10D AS STRING)"), ("B365D", "CASE WHEN o_custkey % 6 > 0 THEN '3.5' END"), ("B365A", "'bad'"),
+]
+
+
+@query("ingest_results_csv", sql="""
+WITH raw AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE o_orderkey % 5 WHEN 0 THEN '15:00' WHEN 1 THEN '15:00' ELSE
+    (12 + o_orderkey % 9) || ':30' END AS clock, CASE WHEN o_custkey % 4 = 0 THEN 'man-city-and-co' ELSE 'club-' || (o_custkey % 9) END AS home_key,
+    'town-' || (o_orderkey % 7) AS away_key, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 3 END AS result FROM orders
+  WHERE o_orderkey % 61 <> 0 AND o_orderkey % 67 <> 1 AND o_orderkey % 71 <> 3)
+SELECT concat_ws(':', 'soccer', 'epl', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), home_key, away_key) AS id,
+  CAST(timezone('UTC', timezone('Europe/London', CAST(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || clock || ':00' AS TIMESTAMP))) AS VARCHAR)
+    AS start_time, CASE WHEN result IS NULL THEN 'scheduled' ELSE 'final' END AS status,
+  CASE WHEN result IS NOT NULL THEN CAST(o_custkey % 5 AS INTEGER) END AS home_score,
+  CASE WHEN result IS NOT NULL AND o_custkey % 13 <> 0 THEN CAST(o_orderkey % 5 AS INTEGER) END AS away_score, CAST(result AS INTEGER) AS outcome,
+  round(1 + (o_orderkey % 30) / 10, 3) AS price_home, CASE WHEN o_custkey % 6 > 0 THEN 3.5 END AS price_draw, CAST(NULL AS DOUBLE) AS price_away
+FROM raw""")
+def _(t):
+    folder = landing(t, "results")
+    t.read("orders").selectExpr(*[f"{e} AS {n}" for n, e in _CSV]).write.option("header", True).csv(folder)
+    rows = ingest.results_csv(t.spark, folder)
+    return rows.select("id", F.col("start_time").cast("string").alias("start_time"), "status", "home_score", "away_score", "outcome",
+                       F.round(F.col("odds")[0], 3).alias("price_home"), F.col("odds")[1].alias("price_draw"),
+                       F.col("odds")[2].alias("price_away"))
+
+
+@query("ingest_scoreboard_json", "games", """
+SELECT concat_ws(':', 'soccer', 'epl', CAST(CAST(start_time AS DATE) AS VARCHAR), lower(home_key), lower(away_key)) AS id,
+  CAST(start_time AS VARCHAR) AS start_time, CASE status WHEN 'live' THEN 'live' ELSE status END AS status,
+  CASE WHEN status = 'final' THEN home_score END AS home_score, CASE WHEN status = 'final' THEN away_score END AS away_score,
+  CASE WHEN status = 'final' THEN outcome END AS outcome
+FROM games WHERE game_id % 31 <> 4 AND game_id % 37 <> 5""")
+def _(t):
+    folder = landing(t, "scoreboard")
+    documents = _scoreboard_documents(t)
+    documents.write.text(folder)
+    rows = ingest.scoreboard_json(t.spark, folder, multi_line=False)
+    return rows.select("id", F.col("start_time").cast("string").alias("start_time"), "status", "home_score", "away_score", "outcome")
+
+
+def _scoreboard_documents(t):
+    """One scoreboard document per event; some without competitions or without a home side."""
+    games = t.games()
+
+    def side(role):
+        return F.struct(F.lit(role).alias("homeAway"), F.col(f"{role}_score").cast("string").alias("score"),
+                        F.struct(F.col(f"{role}_key").alias("displayName")).alias("team"))
+
+    competition = F.struct(
+        F.concat(F.replace(F.col("start_time").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")).alias("date"),
+        F.struct(F.struct(F.concat(F.lit("STATUS_"), F.upper("status")).alias("name"),
+                          (F.col("status") == "final").alias("completed"), F.lit("pre").alias("state")).alias("type")).alias("status"),
+        F.when(F.col("game_id") % 37 == 5, F.array(side("away"))).otherwise(F.array(side("away"), side("home"))).alias("competitors"))
+    event = F.struct(F.when(F.col("game_id") % 31 != 4, F.array(competition)).alias("competitions"))
+    return games.select(F.to_json(F.struct(F.array(event).alias("events"))).alias("value"))
+
+
+@query("ingest_schedule_json", "games", """
+SELECT 'baseball:mlb:' || game_id AS id, CAST(start_time + INTERVAL 1 HOUR AS VARCHAR) AS start_time, status,
+  CASE WHEN shown THEN home_score END AS home_score, CASE WHEN shown THEN away_score END AS away_score,
+  CASE WHEN status = 'final' AND shown THEN outcome END AS outcome
+FROM (SELECT *, status = 'final' AND game_id % 19 <> 0 AS shown FROM games WHERE sport = 'baseball' AND game_id % 43 <> 1)""")
+def _(t):
+    games = t.games().where("sport = 'baseball'")
+
+    def item(shift, resume):
+        at = F.col("start_time") + F.expr(f"INTERVAL '{shift}' HOUR")
+        teams = F.struct(*[F.struct(F.col(f"{r}_score").cast("string").alias("score"), F.struct(
+            F.when(F.col("game_id") % 43 != 1, F.col(f"{r}_key")).alias("name")).alias("team")).alias(r) for r in ("home", "away")])
+        return F.struct(F.col("game_id").alias("gamePk"),
+                        F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")).alias("gameDate"),
+                        F.when(resume, "2001-01-01").alias("resumeDate"), teams.alias("teams"),
+                        F.struct(F.when(F.col("status") == "final", "Final").otherwise("Preview").alias("abstractGameState"),
+                                 F.initcap("status").alias("detailedState")).alias("status"))
+
+    never = F.lit(False)
+    days = F.array(F.struct(F.array(item(0, F.col("game_id") % 19 == 0)).alias("games")), F.struct(F.array(item(1, never)).alias("games")))
+    folder = landing(t, "schedule")
+    games.select(F.to_json(F.struct(days.alias("dates"))).alias("value")).write.text(folder)
+    rows = ingest.schedule_json(t.spark, folder, multi_line=False)
+    return rows.select("id", F.col("start_time").cast("string").alias("start_time"), "status", "home_score", "away_score", "outcome")
+
+
+@query("ingest_odds", "quotes", f"""
+SELECT record_id, sportsbook, CASE WHEN price_bad THEN 'price' END AS reason, CASE WHEN NOT price_bad THEN
+  {r6("(1 / h) / (1 / h + 1 / a)")} END AS p_home, length(sha) AS digest_length
+FROM (SELECT record_id, sportsbook, home_price % 7 = 0 AS price_bad, repeat('x', 64) AS sha,
+  1 + CASE WHEN home_price > 0 THEN home_price / 100 ELSE 100 / abs(home_price) END AS h,
+  1 + CASE WHEN away_price > 0 THEN away_price / 100 ELSE 100 / abs(away_price) END AS a FROM quotes)""")
+def _(t):
+    folder = landing(t, "odds")
+    rows = t.quotes().select(
+        "sportsbook", F.lit("moneyline").alias("market"), "price_format", "home_key", "away_key",
+        F.when(F.col("home_price") % 7 == 0, F.lit("n/a")).otherwise(F.col("home_price").cast("string")).alias("home_price"),
+        F.col("away_price").cast("string").alias("away_price"), F.lit("close").alias("quote_timing"),
+        F.col("record_id").alias("provider_source_row_id"), F.lit("1999-01-01T00:00:00Z").alias("start_time"),
+        F.col("true_game_id").alias("game_id"))
+    half = F.pmod(F.xxhash64("provider_source_row_id"), F.lit(2)) == 0
+    rows.where(half).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{folder}/a")
+    wrapped = F.to_json(F.struct(F.array(F.struct(*rows.columns)).alias("records"), F.lit("book").alias("source")))
+    rows.where(~half).select(wrapped.alias("value")).write.text(f"{folder}/b")
+    raw = ingest.odds_json(t.spark, f"{folder}/*", multi_line=False)
+    priced = raw.withColumns({c: F.col(c).try_cast("double") for c in ("home_price", "away_price")})
+    cleaned = priced.withColumn("home_price", F.coalesce("home_price", F.lit(0.0)))
+    out = checks.odds_records(cleaned, extra=("file",))
+    files = ingest.file_manifest(t.spark, folder).select(F.col("path").alias("file"), "sha256")
+    return out.join(files, "file").select("record_id", "sportsbook", "reason", F.round("p_home", 6).alias("p_home"),
+                                          F.length("sha256").alias("digest_length"))
+
+
+@query("run_catalogue", sql="""
+SELECT 'r' || s_suppkey AS id, CAST(2000 + s_suppkey AS VARCHAR) AS created_at, CASE WHEN s_suppkey % 3 = 0 THEN 'complete' ELSE 'running' END
+  AS status, 2 AS jobs, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS complete
+FROM supplier WHERE s_suppkey % 5 <> 1 AND s_suppkey % 7 <> 2""")
+def _(t):
+    job = "struct('j{0}' AS id, CASE WHEN s_suppkey % 2 = 0 OR {0} = 1 THEN 'complete' ELSE 'failed' END AS status)"
+    rows = t.read("supplier").selectExpr(
+        "concat('r', s_suppkey) AS run",
+        "CASE WHEN s_suppkey % 5 = 1 THEN 'not json' ELSE to_json(struct(concat('r', CASE WHEN s_suppkey % 7 = 2 THEN -1 ELSE s_suppkey END) AS id, "
+        "cast(2000 + s_suppkey AS STRING) AS created_at, CASE WHEN s_suppkey % 3 = 0 THEN 'complete' ELSE 'running' END AS status, "
+        f"array({job.format(1)}, {job.format(2)}) AS jobs)) END AS value")
+    folder = landing(t, "runs")
+    rows.write.partitionBy("run").text(folder)
+    return ingest.run_catalogue(t.spark, folder)
+
+
+@query("prediction_sink", "forecasts", f"""
+SELECT game_id, {r6("max(p_home) FILTER (model = 'm0')")} AS p_m0, {r6("max(p_home) FILTER (model = 'm1')")} AS p_m1,
+  {r6("max(p_home) FILTER (model = 'm2')")} AS p_m2 FROM forecasts WHERE seed = 0 GROUP BY game_id""")
+def _(t):
+    wide = sinks.prediction_table(t.forecasts().where("seed = 0"), ["game_id"], "model", F.col("p_home"), ["m0", "m1", "m2"])
+    folder = landing(t, "predictions")
+    sinks.write_predictions(wide, folder)
+    saved = t.spark.read.parquet(folder)
+    return saved.select("game_id", *[F.round(c, 6).alias(c) for c in ("p_m0", "p_m1", "p_m2")])

@@ -30,16 +30,20 @@ def _(t):
 _SEASON = "year(start_time) - CASE WHEN month(start_time) >= 7 THEN 0 ELSE 1 END"
 
 
-@query("merge_games", "games", f""", incoming AS (SELECT CASE WHEN sport = 'soccer' AND game_id % 2 = 0
-    THEN game_id + 100000000 ELSE game_id END AS game_id, sport, league, home_key, away_key,
-    start_time + INTERVAL 24 HOUR AS start_time, status FROM games WHERE game_id % 3 = 0),
- both_sides AS (SELECT game_id, sport, league, home_key, away_key, start_time, status, 0 AS seq FROM games
+MERGED = f"""both_sides AS (SELECT game_id, sport, league, home_key, away_key, start_time, status, 0 AS seq FROM games
                 UNION ALL SELECT *, 1 FROM incoming),
- by_alt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN sport = 'soccer' THEN concat_ws('|', league,
-     {_SEASON}, home_key, away_key) ELSE CAST(game_id AS VARCHAR) END ORDER BY seq DESC, start_time DESC, game_id DESC) AS rn
-   FROM both_sides) WHERE rn = 1)
-SELECT game_id, sport, league, home_key, away_key, CAST(start_time AS VARCHAR) AS start_time, status
-FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY seq DESC, start_time DESC) AS rk FROM by_alt) WHERE rk = 1""")
+ keyed AS (SELECT *, CASE WHEN sport = 'soccer' THEN concat_ws('|', league, {_SEASON}, home_key, away_key)
+                     ELSE CAST(game_id AS VARCHAR) END AS alt FROM both_sides),
+ merged AS (SELECT * FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM keyed o WHERE o.alt = k.alt AND (o.seq, o.start_time, o.game_id)
+     > (k.seq, k.start_time, k.game_id)) AND NOT EXISTS (SELECT 1 FROM keyed o WHERE o.game_id = k.game_id AND
+     (o.seq, o.start_time) > (k.seq, k.start_time)))"""
+INCOMING = """incoming AS (SELECT CASE WHEN sport = 'soccer' AND game_id % 2 = 0
+    THEN game_id + 100000000 ELSE game_id END AS game_id, sport, league, home_key, away_key,
+    start_time + INTERVAL 24 HOUR AS start_time, status FROM games WHERE game_id % 3 = 0)"""
+
+
+@query("merge_games", "games", f""", {INCOMING}, {MERGED}
+SELECT game_id, sport, league, home_key, away_key, CAST(start_time AS VARCHAR) AS start_time, status FROM merged""")
 def _(t):
     columns = ["game_id", "sport", "league", "home_key", "away_key", "start_time", "status"]
     existing = t.games().select(*columns)

@@ -1 +1,116 @@
+"""Streaming jobs driven to completion over landed files; the final tables are checked against batch SQL."""
 
+from pyspark.sql import functions as F
+
+from ..functions import probability
+from ..streaming import jobs
+from .features import _RATED
+from .ingest import landing
+from .ledgers import _SNAPSHOT, SQL_NOW, now, snapshot
+from .matching import INCOMING, MERGED
+from .registry import query, r6
+
+
+def land(df, folder, parts):
+    """Land a table as consecutive files, oldest first; ``parts`` are row conditions."""
+    for condition in parts:
+        df.where(condition).coalesce(1).write.mode("append").parquet(folder)
+
+
+_GAME = ["game_id", "sport", "league", "home_key", "away_key", "start_time", "status"]
+
+
+@query("stream_merge", "games", f""", {INCOMING}, {MERGED}
+SELECT game_id, sport, league, home_key, away_key, CAST(start_time AS VARCHAR) AS start_time, status FROM merged""")
+def _(t):
+    existing = t.games().select(*_GAME)
+    incoming = existing.where("game_id % 3 = 0").withColumns({
+        "start_time": F.expr("timestampadd(HOUR, 24, start_time)"),
+        "game_id": F.expr("CASE WHEN sport = 'soccer' AND game_id % 2 = 0 THEN game_id + 100000000 ELSE game_id END")})
+    source, log = landing(t, "source"), landing(t, "log")
+    land(existing.withColumn("wave", F.lit(0)).unionByName(incoming.withColumn("wave", F.lit(1))), source, ["wave = 0", "wave = 1"])
+    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
+    jobs.run_available(stream, landing(t, "checkpoint"), jobs.append_batch(log))
+    return jobs.merged_schedule(t.spark, log).withColumn("start_time", F.col("start_time").cast("string"))
+
+
+@query("stream_first", "forecasts", """
+SELECT CAST(game_id AS VARCHAR) || ':' || model AS forecast_key, min_by(forecast_id, (saved_at, forecast_id)) AS forecast_id
+FROM forecasts WHERE seed = 1 GROUP BY ALL""")
+def _(t):
+    rows = t.forecasts().where("seed = 1").select(
+        F.concat_ws(":", F.col("game_id").cast("string"), "model").alias("forecast_key"), "forecast_id",
+        F.struct("saved_at", "forecast_id").alias("saved_at"), F.date_format("start_time", "yyyy-MM").alias("month"),
+        F.dayofmonth("start_time").alias("d"))
+    source, ledger = landing(t, "source"), landing(t, "ledger")
+    # Two deliveries: the earliest forecast of every key is in the first or, for one day in three, in the second.
+    first = rows.groupBy("forecast_key").agg(F.min("saved_at").alias("earliest"))
+    waves = rows.join(first, "forecast_key").withColumn("wave", F.when(
+        (F.col("saved_at") == F.col("earliest")) & (F.col("d") % 3 > 0), 0).otherwise(1)).drop("earliest", "d")
+    land(waves, source, ["wave = 0", "wave = 1"])
+    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
+    jobs.run_available(stream, landing(t, "checkpoint"), jobs.first_write(ledger, "forecast_key", "month"))
+    return t.spark.read.parquet(ledger).select("forecast_key", "forecast_id")
+
+
+@query("stream_late", "forecasts", """
+SELECT forecast_id, CASE WHEN saved_at >= fixture_start THEN 'late' ELSE 'in_time' END AS arrival FROM forecasts""")
+def _(t):
+    rows = t.forecasts().select("forecast_id", F.col("saved_at").cast("timestamp").alias("saved_at"),
+                                F.col("fixture_start").cast("timestamp").alias("fixture_start"), "seed")
+    source, out = landing(t, "source"), landing(t, "late")
+    land(rows, source, ["seed = 0", "seed = 1", "seed = 2"])
+    stream = jobs.lateness(jobs.read_stream(t.spark, rows.schema, source), "fixture_start")
+    jobs.to_table(stream.select("forecast_id", "arrival"), out, landing(t, "checkpoint"))
+    return t.spark.read.parquet(out)
+
+
+@query("stream_weekly", "games", """
+SELECT sport, CAST(date_trunc('week', start_time) AS DATE) AS week, count(*) AS games, count(outcome) AS finished FROM games GROUP BY ALL""")
+def _(t):
+    rows = t.games().select("sport", F.col("start_time").cast("timestamp").alias("start_time"), "outcome")
+    source, log = landing(t, "source"), landing(t, "weeks")
+    land(rows, source, ["year(start_time) < 1998", "year(start_time) >= 1998"])
+    stream = jobs.weekly_counts(jobs.read_stream(t.spark, rows.schema, source), "start_time")
+    query_ = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", landing(t, "checkpoint"))
+              .outputMode("update").foreachBatch(jobs.append_batch(log)).start())
+    query_.awaitTermination()
+    latest = t.spark.read.parquet(log).groupBy("window", "sport").agg(
+        F.max_by("games", "batch").alias("games"), F.max_by("finished", "batch").alias("finished"))
+    return latest.select("sport", F.col("window.start").cast("date").alias("week"), "games", "finished")
+
+
+_OBSERVED = """CASE WHEN {0} THEN 'scheduled' ELSE status END"""
+
+
+@query("stream_score", "forecasts", f"""{_SNAPSHOT}
+SELECT forecast_id, model, f.sport, CASE WHEN s.status = 'cancelled' THEN 'void'
+    WHEN sha256(concat_ws('|', f.sport, f.home_key, f.away_key, CAST(fixture_start AS VARCHAR))) <> s.revision THEN 'superseded'
+    WHEN saved_at >= s.start_time THEN 'late'
+    WHEN s.status = 'final' AND s.start_time <= observed_at AND observed_at <= {SQL_NOW} THEN 'complete'
+    WHEN s.status IN ('scheduled', 'live') THEN 'pending' ELSE 'held' END AS status
+FROM forecasts f JOIN snapshot s USING (game_id)""")
+def _(t):
+    # Two deliveries of every event: first as scheduled, then in its final form.
+    final = snapshot(t).select("game_id", "sport", "home_key", "away_key", "start_time", "status", "home_score", "away_score",
+                               "outcome", "observed_at")
+    early = final.withColumns({"status": F.lit("scheduled"), "home_score": F.lit(None).cast("int"),
+                               "away_score": F.lit(None).cast("int"), "outcome": F.lit(None).cast("int")})
+    source, log = landing(t, "source"), landing(t, "scores")
+    land(early.withColumn("wave", F.lit(0)).unionByName(final.withColumn("wave", F.lit(1))), source, ["wave = 0", "wave = 1"])
+    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
+    forecasts = t.forecasts().withColumn("p", probability.vector())
+    jobs.run_available(stream, landing(t, "checkpoint"), jobs.rescore(forecasts, log, now))
+    return jobs.current_scores(t.spark, log).select("forecast_id", "model", "sport", "status")
+
+
+@query("stream_rating", "games", f"""{_RATED}
+SELECT game_id, {r6("home_rating", 5)} AS home_rating, {r6("away_rating", 5)} AS away_rating FROM rated""", recursive=True)
+def _(t):
+    rows = t.games().drop("source_key")
+    source, out = landing(t, "source"), landing(t, "ratings")
+    land(rows, source, ["year(start_time) < 1997", "year(start_time) = 1997", "year(start_time) > 1997"])
+    stream = jobs.rating_stream(jobs.read_stream(t.spark, rows.schema, source))
+    jobs.to_table(stream, out, landing(t, "checkpoint"))
+    return t.spark.read.parquet(out).select("game_id", F.round("home_rating", 5).alias("home_rating"),
+                                            F.round("away_rating", 5).alias("away_rating"))

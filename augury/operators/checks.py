@@ -14,36 +14,39 @@ def first_reason(rules: list[tuple[Column, str]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules])
 
 
-def odds_records(raw: DataFrame) -> DataFrame:
+def odds_records(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Normalise price records and name why one is rejected.
 
     Needs sportsbook, market, price_format, home_key, away_key, home_price, away_price, draw_price, quote_timing,
-    record_id, game_number (text), start_time, local_date, zone.
+    record_id, game_number (text), start_time, local_date, zone; ``extra`` columns are carried along.
     """
     required = ["sportsbook", "market", "price_format", "home_key", "away_key", "home_price", "away_price",
                 "quote_timing", "record_id"]
     missing = F.lit(False)
     for name in required:
         missing = missing | F.col(name).isNull() | (F.col(name).cast("string") == "")
-    home, away = (odds.to_decimal(F.col(f"{s}_price"), F.col("price_format")) for s in ("home", "away"))
-    p_home, p_away = odds.devig_two_way(home, away)
-    number = F.expr("try_cast(game_number AS INT)")
-    home_key, away_key = text.book_team_key(F.col("home_key")), text.book_team_key(F.col("away_key"))
+    # Keys and prices become columns first, so the reasons below read them instead of repeating them.
+    keyed = raw.select(
+        "*", missing.alias("_missing"), F.expr("try_cast(game_number AS INT)").alias("_number"),
+        *[text.book_team_key(F.col(f"{s}_key")).alias(f"_{s}_key") for s in ("home", "away")],
+        *[odds.to_decimal(F.col(f"{s}_price"), F.col("price_format")).alias(f"_{s}") for s in ("home", "away")])
     reason = first_reason([
-        (missing, "missing_field"),
+        (F.col("_missing"), "missing_field"),
         (~F.lower(F.trim("market")).isin("moneyline", "ml", "money-line"), "market"),
         (F.col("draw_price").isNotNull(), "draw_price"),
         (~F.lower(F.trim("price_format")).isin("american", "decimal"), "price_format"),
-        (home.isNull() | away.isNull(), "price"),
-        (home_key.isNull() | away_key.isNull() | (home_key == away_key), "teams"),
+        (F.col("_home").isNull() | F.col("_away").isNull(), "price"),
+        (F.col("_home_key").isNull() | F.col("_away_key").isNull() | (F.col("_home_key") == F.col("_away_key")), "teams"),
         (F.col("start_time").isNull() & (F.col("local_date").isNull() | F.col("zone").isNull()), "fixture_time"),
-        ((F.coalesce("game_number", F.lit("")) != "") & (number.isNull() | (number < 1)), "game_number"),
+        ((F.coalesce("game_number", F.lit("")) != "") & (F.col("_number").isNull() | (F.col("_number") < 1)), "game_number"),
     ])
-    return raw.select(
-        "record_id", reason.alias("reason"), F.trim("sportsbook").alias("sportsbook"),
-        home_key.alias("home_key"), away_key.alias("away_key"),
-        F.when(reason.isNull(), p_home).alias("p_home"), F.when(reason.isNull(), p_away).alias("p_away"),
-        "start_time", "local_date", "zone", number.alias("game_number"))
+    judged = keyed.withColumn("reason", reason)
+    p_home, p_away = odds.devig_two_way(F.col("_home"), F.col("_away"))
+    good = F.col("reason").isNull()
+    return judged.select(
+        "record_id", "reason", F.trim("sportsbook").alias("sportsbook"), F.col("_home_key").alias("home_key"),
+        F.col("_away_key").alias("away_key"), F.when(good, p_home).alias("p_home"), F.when(good, p_away).alias("p_away"),
+        "start_time", "local_date", "zone", F.col("_number").alias("game_number"), *extra)
 
 
 def season_rows(items: DataFrame, year: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixtures import season_year
@@ -111,21 +111,29 @@ def _numbered_events(fixtures: DataFrame, slots: DataFrame) -> DataFrame:
     return numbered.select(*teams, "instant", F.col("nth").cast("int").alias("nth"), F.col("game_id").alias("matched_id"))
 
 
-def merge_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows replace rows with the same id; a soccer pairing is unique per season, so a moved date replaces.
+def merge_log(rows: DataFrame, seq: str) -> DataFrame:
+    """Current events of a revision log: a row counts while no later row has its id or its season pairing.
 
-    Two keyed maxima with map-side combine; nothing is sorted.
+    A soccer pairing occurs once per season (seasons turn in July), so a moved date replaces the earlier row. Repeated
+    revisions collapse with map-side combine first; the two windows then see one row per (id, pairing).
     """
-    both = existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)))
-    rest = [c for c in both.columns if not c.startswith("_")]
-    alternate = F.when(F.col("sport") == "soccer", F.concat_ws(
+    rest = [c for c in rows.columns if c != "game_id"]
+    pairing = F.when(F.col("sport") == "soccer", F.concat_ws(
         "|", "league", season_year(F.col("start_time")).cast("string"), "home_key", "away_key")).otherwise(
         F.col("game_id").cast("string"))
-    newest = F.struct("_seq", "start_time", "game_id")
-    step = both.groupBy(alternate.alias("_alt")).agg(F.max_by(F.struct(*rest), newest).alias("_r"),
-                                                     F.max("_seq").alias("_seq")).select("_r.*", "_seq")
-    return step.groupBy("game_id").agg(F.max_by(F.struct(*[c for c in rest if c != "game_id"]),
-                                                F.struct("_seq", "start_time")).alias("_r")).select("game_id", "_r.*")
+    order = F.struct(F.col(seq), F.col("start_time"), F.col("game_id"))
+    one = rows.groupBy("game_id", pairing.alias("_alt")).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
+        "game_id", "_alt", "_r.*").withColumn("_order", order)
+    latest = F.max("_order").over(Window.partitionBy("_alt"))
+    own = F.max("_order").over(Window.partitionBy("game_id"))
+    marked = one.withColumns({"_latest": latest, "_own": own})
+    return marked.where((F.col("_order") == F.col("_latest")) & (F.col("_order") == F.col("_own"))).select(
+        "game_id", *[c for c in rest if c != seq])
+
+
+def merge_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming rows replace rows with the same id or the same season pairing."""
+    return merge_log(existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1))), "_seq")
 
 
 def history_union(history: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
