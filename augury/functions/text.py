@@ -60,17 +60,27 @@ _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _ascii_folds()
 _SEVERAL_PATTERN = "[" + "".join(_FOLD_SEVERAL) + "]"
 
 
+def _once(value: Column, use) -> Column:
+    """Apply ``use`` to ``value`` without repeating its expression.
+
+    Text keys are used two or three times each; repeating them makes generated methods too large for the JIT.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ascii_fold(text: Column) -> Column:
     """Compatibility-decompose to ASCII and drop what has no ASCII form."""
+    def spelled(value: Column) -> Column:
+        return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _FOLD_SEVERAL.items(), value)
+
     folded = F.translate(text, _FOLD_FROM, _FOLD_TO)
-    spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _FOLD_SEVERAL.items(), folded)
-    expanded = F.when(folded.rlike(_SEVERAL_PATTERN), spelled).otherwise(folded)
+    expanded = _once(folded, lambda v: F.when(v.rlike(_SEVERAL_PATTERN), spelled(v)).otherwise(v))
     return F.regexp_replace(expanded, r"[^\x00-\x7F]", "")
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.element_at(table, key), key)
+    return F.coalesce(F.try_element_at(table, key), key)
 
 
 def _hyphenate(text: Column, pattern: str) -> Column:
@@ -81,14 +91,14 @@ def team_key(name: Column, sport: Column) -> Column:
     """Schedule-source key: folded, lower case, '&' spelled out, runs of other characters become '-'."""
     text = F.replace(F.replace(F.lower(ascii_fold(name)), F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit(" "))
     slug = _hyphenate(text, "[^a-z0-9]+")
-    return F.when(sport == "soccer", _lookup(SOCCER_ALIASES, slug)).otherwise(slug)
+    return _once(slug, lambda s: F.when(sport == "soccer", _lookup(SOCCER_ALIASES, s)).otherwise(s))
 
 
 def book_team_key(name: Column) -> Column:
     """Price-source key: letters and digits of any script kept, abbreviations expanded; null when empty."""
     text = F.replace(F.lower(F.trim(name)), F.lit("&"), F.lit(" and "))
     slug = _hyphenate(text, r"[^\p{L}\p{N}]+")
-    return F.when(slug != "", _lookup(BASEBALL_ALIASES, slug))
+    return _once(slug, lambda s: F.when(s != "", _lookup(BASEBALL_ALIASES, s)))
 
 
 def _first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:

@@ -22,9 +22,8 @@ def odds_records(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """
     required = ["sportsbook", "market", "price_format", "home_key", "away_key", "home_price", "away_price",
                 "quote_timing", "record_id"]
-    missing = F.lit(False)
-    for name in required:
-        missing = missing | F.col(name).isNull() | (F.col(name).cast("string") == "")
+    texts = [F.col(c).cast("string") for c in required]
+    missing = F.concat(*texts).isNull() | (F.least(*[F.length(c) for c in texts]) == 0)
     # Keys and prices become columns first, so the reasons below read them instead of repeating them.
     keyed = raw.select(
         "*", missing.alias("_missing"), F.expr("try_cast(game_number AS INT)").alias("_number"),
