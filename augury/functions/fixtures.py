@@ -18,7 +18,9 @@ def usable_final() -> Column:
 
 def utc_instant(text: Column) -> Column:
     """ISO text to UTC wall clock. Text without an offset is read as UTC; unreadable text gives null."""
-    clean = F.trim(text)
+    # The timestamp cast needs a full time next to a zone; many feeds leave out the seconds or the time.
+    dated = F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00")
+    clean = F.regexp_replace(dated, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2}|)$", "$1:00$2")
     zoned = clean.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     instant = F.when(zoned, clean).otherwise(F.concat(clean, F.lit("Z"))).try_cast("timestamp")
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))

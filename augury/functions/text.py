@@ -134,7 +134,7 @@ def category(rules: list[tuple[Column, str]], other: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), F.trim)
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), lambda t: F.trim(t))
 
 
 # Transmitter words that carry a fast sign.
