@@ -7,19 +7,19 @@ from .registry import query, r6
 from .scoring import finals, firsts, FIRST, LOSS
 
 
-@query("odds_match", "quotes", """, candidates AS (
-  SELECT q.*, g.game_id AS candidate, row_number() OVER (PARTITION BY record_id ORDER BY g.start_time, g.game_id) AS place,
-    count(g.game_id) OVER (PARTITION BY record_id) AS total
-  FROM quotes q LEFT JOIN games g ON g.sport = 'baseball' AND g.home_key = q.home_key AND g.away_key = q.away_key
+@query("odds_match", "quotes", """, q AS (SELECT *, row_number() OVER () AS rid FROM quotes), candidates AS (
+  SELECT q.*, g.game_id AS candidate, row_number() OVER (PARTITION BY rid ORDER BY g.start_time, g.game_id) AS place,
+    count(g.game_id) OVER (PARTITION BY rid) AS total
+  FROM q LEFT JOIN games g ON g.sport = 'baseball' AND g.home_key = q.home_key AND g.away_key = q.away_key
     AND (q.game_id IS NULL OR g.game_id = q.game_id) AND (q.start_time IS NULL OR g.start_time = q.start_time)
     AND (q.local_date IS NULL OR CAST(timezone('America/New_York', timezone('UTC', g.start_time)) AS DATE) = q.local_date)),
  kept AS (SELECT * FROM candidates WHERE candidate IS NOT NULL AND (game_number IS NULL OR total = 1 OR place = game_number)),
- tally AS (SELECT record_id, count(*) AS n, min(candidate) AS candidate FROM kept GROUP BY record_id)
+ tally AS (SELECT rid, count(*) AS n, min(candidate) AS candidate FROM kept GROUP BY rid)
 SELECT record_id, CASE WHEN n = 1 THEN candidate END AS game_id, CASE WHEN n = 1 THEN 'matched' WHEN n IS NULL
   THEN 'unmatched_fixture' ELSE 'ambiguous_fixture' END AS status, CASE WHEN n = 1 THEN CASE WHEN q.game_id IS NOT NULL
   THEN 'game_id' WHEN start_time IS NOT NULL THEN 'start_time' WHEN game_number IS NOT NULL THEN 'date_and_game_number'
   ELSE 'unique_team_date' END END AS matched_by
-FROM quotes q LEFT JOIN tally USING (record_id)""")
+FROM q LEFT JOIN tally USING (rid)""")
 def _(t):
     fixtures = t.games().where("sport = 'baseball'").select("game_id", "home_key", "away_key", "start_time")
     records = t.quotes().select("record_id", "home_key", "away_key", "game_id", "start_time", "local_date", "zone",

@@ -84,14 +84,15 @@ _OBSERVED = """CASE WHEN {0} THEN 'scheduled' ELSE status END"""
 
 
 @query("stream_score", "forecasts", f"""{_SNAPSHOT}
-SELECT forecast_id, model, f.sport, CASE WHEN s.status = 'cancelled' THEN 'void'
+SELECT DISTINCT forecast_id, model, f.sport, CASE WHEN s.status = 'cancelled' THEN 'void'
     WHEN sha256(concat_ws('|', f.sport, f.home_key, f.away_key, CAST(fixture_start AS VARCHAR))) <> s.revision THEN 'superseded'
     WHEN saved_at >= s.start_time THEN 'late'
     WHEN s.status = 'final' AND s.start_time <= observed_at AND observed_at <= {SQL_NOW} THEN 'complete'
     WHEN s.status IN ('scheduled', 'live') THEN 'pending' ELSE 'held' END AS status
 FROM forecasts f JOIN snapshot s USING (game_id)""")
 def _(t):
-    # Two deliveries of every event: first as scheduled, then in its final form.
+    # Two deliveries of every event: first as scheduled, then in its final form. Scores are keyed by forecast id, so a
+    # repeated ledger row has one score.
     final = snapshot(t).select("game_id", "sport", "home_key", "away_key", "start_time", "status", "home_score", "away_score",
                                "outcome", "observed_at")
     early = final.withColumns({"status": F.lit("scheduled"), "home_score": F.lit(None).cast("int"),

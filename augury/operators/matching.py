@@ -45,6 +45,8 @@ def match_records(records: DataFrame, fixtures: DataFrame) -> DataFrame:
     (start, id): the instant holding it is found from the counts, and only then is the event looked up by its place.
     """
     teams = ["home_key", "away_key"]
+    # Repeated records travel once with their number of copies, and come back as as many rows.
+    records = records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("copies"))
     slots = fixtures.groupBy(*teams, F.col("start_time").alias("instant")).agg(
         F.count(F.lit(1)).alias("events"), F.min("game_id").alias("slot_id"))
     by_id = records.where("game_id is not null")
@@ -69,8 +71,7 @@ def match_records(records: DataFrame, fixtures: DataFrame) -> DataFrame:
 
     rows = id_rows.unionByName(time_rows).unionByName(date_rows)
     keys = [c for c in records.columns if c != "game_id"]
-    found = rows.groupBy("record_id").agg(
-        *[F.any_value(c).alias(c) for c in records.columns if c != "record_id"],
+    found = rows.groupBy(*records.columns).agg(
         F.array_sort(F.array_compact(F.collect_list("slot"))).alias("slots"))
     total = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + s["events"])
     before = F.transform(F.sequence(F.lit(1), F.size("slots")), lambda i: F.aggregate(
@@ -92,7 +93,8 @@ def match_records(records: DataFrame, fixtures: DataFrame) -> DataFrame:
     how = (F.when(F.col("asked_id").isNotNull(), "game_id").when(F.col("start_time").isNotNull(), "start_time")
            .when(F.col("game_number").isNotNull(), "date_and_game_number").otherwise("unique_team_date"))
     hit = candidates == 1
-    return out.select(
+    repeated = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(
         "record_id", F.when(hit, F.col("matched_id")).alias("game_id"),
         F.when(hit, "matched").when(candidates == 0, "unmatched_fixture").otherwise("ambiguous_fixture").alias("status"),
         F.when(hit, how).alias("matched_by"))

@@ -140,9 +140,12 @@ def test_match_records_doubleheaders(spark):
             ("instant-two", "c", "d", None, dt.datetime(2024, 5, 1, 17), None, None, None),
             ("date", "a", "b", None, None, day, ny, None), ("date-3", "a", "b", None, None, day, ny, 3), ("date-4", "a", "b", None, None, day, ny, 4),
             ("same-instant-2", "c", "d", None, None, day, ny, 2), ("none", "a", "d", None, None, day, ny, None)]
+    rows += [rows[0], ("date-3", "a", "b", 1, None, None, None, None)]
     records = spark.createDataFrame(rows, "record_id string, home_key string, away_key string, game_id long, start_time timestamp_ntz, "
                                           "local_date date, zone string, game_number int")
-    got = {r.record_id: (r.game_id, r.status) for r in matching.match_records(records, games).collect()}
+    out = matching.match_records(records, games).collect()
+    assert len(out) == len(rows) and sorted(r.game_id for r in out if r.record_id == "date-3") == [1, 3]
+    got = {r.record_id: (r.game_id, r.status) for r in out if r.game_id != 1 or r.record_id != "date-3"}
     assert got == {"id": (2, "matched"), "id-wrong-teams": (None, "unmatched_fixture"), "instant": (1, "matched"),
                    "instant-two": (None, "ambiguous_fixture"), "date": (None, "ambiguous_fixture"), "date-3": (3, "matched"),
                    "date-4": (None, "unmatched_fixture"), "same-instant-2": (5, "matched"), "none": (None, "unmatched_fixture")}
