@@ -7,8 +7,6 @@ most one window row per day. The lookup is an equi-join on (state key, day), not
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from ..functions.fixtures import available_day, usable_final
 from ..functions.probability import rest_scale
 
 TEAM = ["sport", "league", "team"]
+STATE = ["games", "wins", "margin", "last_day", "recent"]
 
 
 def sides(games: DataFrame, delay_hours: int = 48) -> DataFrame:
@@ -33,8 +32,11 @@ def sides(games: DataFrame, delay_hours: int = 48) -> DataFrame:
         F.inline(F.array(side("home", "home_key", 1, result), side("away", "away_key", -1, 1 - result))))
 
 
-def daily_state(updates: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Running state after every available day: games, wins, margin, last played day, last ``longest`` results."""
+def daily_totals(updates: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Per available day: games, wins, margin, last played day and the last ``longest`` results.
+
+    Both halves combine inside the map tasks: sums partially, results by the group limit on ``row_number``.
+    """
     day_keys = [*keys, "day"]
     totals = updates.groupBy(*day_keys).agg(
         F.count(F.lit(1)).alias("games"), F.count_if(F.col("result") == 1).alias("wins"),
@@ -43,26 +45,41 @@ def daily_state(updates: DataFrame, keys: list[str], longest: int) -> DataFrame:
     recent = (updates.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= longest)
               .groupBy(*day_keys).agg(F.array_sort(F.collect_list(F.struct("start_time", "game_id", "result")))
                                       .alias("recent")))
-    upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy(*keys).orderBy("day").rowsBetween(-(longest - 1), 0)
-    values = F.transform(F.flatten(F.collect_list("recent").over(last)), lambda r: r["result"])
-    return totals.join(recent, day_keys).select(
-        *day_keys, *[F.sum(c).over(upto).alias(c) for c in ("games", "wins", "margin")],
-        F.max("last_day").over(upto).alias("last_day"),
-        F.slice(values, F.greatest(F.size(values) - longest, F.lit(0)) + 1, longest).alias("recent"))
-
-
-def as_of(state: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest state row at or before each asked (keys, day); state columns are null when there is none."""
-    columns = [c for c in state.columns if c not in (*keys, "day")]
-    packed = F.struct(*columns)
-    empty = F.lit(None).cast(state.select(packed.alias("s")).schema["s"].dataType)
-    line = (state.select(*keys, "day", F.lit(0).alias("_kind"), packed.alias("_s"))
-            .unionByName(asked.select(*keys, "day").distinct().select(
-                "*", F.lit(1).alias("_kind"), empty.alias("_s"))))
+    return totals.join(recent, day_keys)
+
+
+def _timeline(daily: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Day rows (kind 0) and asked days (kind 1) of every state key, placed together by one exchange."""
+    rows = daily.withColumn("_kind", F.lit(0)).unionByName(
+        asked.select(*keys, "day").distinct().withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    return rows.repartition(*keys)
+
+
+def _latest(line: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Latest day row at or before each asked day; columns are null when there is none."""
     order = Window.partitionBy(*keys).orderBy("day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (line.withColumn("_s", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
-            .select(*keys, "day", "_s.*"))
+    packed = F.when(F.col("_kind") == 0, F.struct(*columns))
+    return (line.withColumn("_s", F.last(packed, ignorenulls=True).over(order)).where("_kind = 1")
+            .select(*keys, "day", *[F.col(f"_s.{c}").alias(c) for c in columns]))
+
+
+def states_as_of(updates: DataFrame, asked: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Running state seen by every asked (keys, day). All windows run over days and share one partitioning."""
+    line = _timeline(daily_totals(updates, keys, longest), asked, keys)
+    own = Window.partitionBy(*keys, "_kind").orderBy("day")
+    upto, last = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(-(longest - 1), 0)
+    values = F.transform(F.flatten(F.collect_list("recent").over(last)), lambda r: r["result"])
+    running = line.select(
+        *keys, "day", "_kind", *[F.sum(c).over(upto).alias(c) for c in ("games", "wins", "margin")],
+        F.max("last_day").over(upto).alias("last_day"), values.alias("_v"))
+    sliced = F.slice("_v", F.greatest(F.size("_v") - longest, F.lit(0)) + 1, longest)
+    return _latest(running.withColumn("recent", sliced), keys, STATE)
+
+
+def as_of(daily: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest row of a (keys, day) table at or before each asked (keys, day)."""
+    columns = [c for c in daily.columns if c not in (*keys, "day")]
+    return _latest(_timeline(daily, asked, keys), keys, columns)
 
 
 def asked_days(games: DataFrame) -> DataFrame:
@@ -84,8 +101,7 @@ def attach(games: DataFrame, states: DataFrame, columns: list[str], with_role: b
 
 def team_states(games: DataFrame, form: int = 5, delay_hours: int = 48) -> DataFrame:
     """State of every asked (sport, league, team, day)."""
-    state = daily_state(sides(games, delay_hours), TEAM, form)
-    return as_of(state, asked_days(games), TEAM)
+    return states_as_of(sides(games, delay_hours), asked_days(games), TEAM, form)
 
 
 # --- feature columns -------------------------------------------------------------------------------------------
@@ -114,9 +130,6 @@ def rest(side: str, transform: str = "capped") -> Column:
     return rest_scale(F.datediff("day", f"{side}_last_day"), transform)
 
 
-STATE = ["games", "wins", "margin", "last_day", "recent"]
-
-
 def pregame_features(games: DataFrame, ratings: DataFrame | None = None, form_window: int = 5) -> DataFrame:
     """The sixteen-column pre-event feature row (thirteen without ratings) and the label (-1 = not usable)."""
     rows = attach(games, team_states(games, form_window), STATE)
@@ -148,8 +161,7 @@ def role_states(games: DataFrame, longest: int = 40) -> tuple[DataFrame, DataFra
     updates = sides(games)
     asked = asked_days(games)
     by_role = [*TEAM, "role"]
-    return (as_of(daily_state(updates, TEAM, longest), asked, TEAM),
-            as_of(daily_state(updates, by_role, longest), asked, by_role))
+    return states_as_of(updates, asked, TEAM, longest), states_as_of(updates, asked, by_role, longest)
 
 
 def sweep_features(games: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20, 40)) -> DataFrame:
@@ -177,7 +189,3 @@ def delayed_wins(games: DataFrame) -> DataFrame:
     """Wins each side had when the event's day began."""
     rows = attach(games, team_states(games, 1), ["wins"])
     return rows.select("game_id", *[F.coalesce(f"{s}_wins", F.lit(0)).alias(f"{s}_wins") for s in ("home", "away")])
-
-
-def all_columns(names: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(n) for n in names])
