@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import probability
+from ..functions.fixtures import utc_day
 from ..streaming import jobs
 from .features import _RATED
 from .ingest import landing
@@ -56,8 +57,7 @@ def _(t):
 @query("stream_late", "forecasts", """
 SELECT forecast_id, CASE WHEN saved_at >= fixture_start THEN 'late' ELSE 'in_time' END AS arrival FROM forecasts""")
 def _(t):
-    rows = t.forecasts().select("forecast_id", F.col("saved_at").cast("timestamp").alias("saved_at"),
-                                F.col("fixture_start").cast("timestamp").alias("fixture_start"), "seed")
+    rows = t.forecasts().select("forecast_id", "saved_at", "fixture_start", "seed")
     source, out = landing(t, "source"), landing(t, "late")
     land(rows, source, ["seed = 0", "seed = 1", "seed = 2"])
     stream = jobs.lateness(jobs.read_stream(t.spark, rows.schema, source), "fixture_start")
@@ -68,7 +68,7 @@ def _(t):
 @query("stream_weekly", "games", """
 SELECT sport, CAST(date_trunc('week', start_time) AS DATE) AS week, count(*) AS games, count(outcome) AS finished FROM games GROUP BY ALL""")
 def _(t):
-    rows = t.games().select("sport", F.col("start_time").cast("timestamp").alias("start_time"), "outcome")
+    rows = t.games().select("sport", "start_time", "outcome")
     source, log = landing(t, "source"), landing(t, "weeks")
     land(rows, source, ["year(start_time) < 1998", "year(start_time) >= 1998"])
     stream = jobs.weekly_counts(jobs.read_stream(t.spark, rows.schema, source), "start_time")
@@ -77,7 +77,7 @@ def _(t):
     query_.awaitTermination()
     latest = t.spark.read.parquet(log).groupBy("window", "sport").agg(
         F.max_by("games", "batch").alias("games"), F.max_by("finished", "batch").alias("finished"))
-    return latest.select("sport", F.col("window.start").cast("date").alias("week"), "games", "finished")
+    return latest.select("sport", utc_day(F.col("window.start")).alias("week"), "games", "finished")
 
 
 _OBSERVED = """CASE WHEN {0} THEN 'scheduled' ELSE status END"""

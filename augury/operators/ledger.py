@@ -124,8 +124,9 @@ def first_pick(picks: DataFrame) -> DataFrame:
 
 def latest_pick(picks: DataFrame, columns: list[str]) -> DataFrame:
     """Latest row per event; among equal times the smallest id."""
-    newest = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("pick_id").alias("i"))
-    return picks.groupBy("game_id").agg(F.min_by(F.struct(*columns), newest).alias("_l")).select("game_id", "_l.*")
+    first = F.min_by(F.struct(*columns), F.col("pick_id")).alias("_l")
+    at_time = picks.groupBy("game_id", "created_at").agg(first)
+    return at_time.groupBy("game_id").agg(F.max_by("_l", "created_at").alias("_l")).select("game_id", "_l.*")
 
 
 def upcoming_with_pick(games: DataFrame, picks: DataFrame, now: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixtures import iso_utc, outcome, utc_instant
+from ..functions.fixtures import iso_utc, outcome, utc_second
 from ..functions.text import schedule_status, scoreboard_status, team_key
 
 # Columns of the delimited results format.
@@ -92,7 +92,7 @@ def scoreboard_json(spark: SparkSession, path: str, league: str = "EPL", multi_l
                                F.col("t.completed"), F.col("t.state"))
     keyed = named.withColumns({"status": status, "home_key": team_key(F.col("home"), F.lit("soccer")),
                                "away_key": team_key(F.col("away"), F.lit("soccer")),
-                               "start_time": F.date_trunc("second", utc_instant(F.col("date"))).cast("timestamp_ntz")})
+                               "start_time": utc_second(F.col("date"))})
     seen = F.col("status").isin("live", "final")
     scored = keyed.withColumns({"home_score": F.when(seen, _int(F.col("h.score"))), "away_score": F.when(seen, _int(F.col("a.score")))})
     return scored.select(
@@ -130,7 +130,7 @@ def schedule_json(spark: SparkSession, path: str, league: str = "MLB", multi_lin
                                 "away_score": F.when(shown, _int(F.col("teams.away.score")))})
     return scored.select(
         "doc", F.concat(F.lit(f"baseball:{league.lower()}:"), F.col("gamePk")).alias("id"), F.lit("baseball").alias("sport"),
-        F.lit(league).alias("league"), F.date_trunc("second", utc_instant(F.col("gameDate"))).cast("timestamp_ntz").alias("start_time"),
+        F.lit(league).alias("league"), utc_second(F.col("gameDate")).alias("start_time"),
         "home", "away", team_key(F.col("home"), F.lit("baseball")).alias("home_key"),
         team_key(F.col("away"), F.lit("baseball")).alias("away_key"), F.col("state").alias("status"), "home_score", "away_score",
         F.when(F.col("state") == "final", outcome(F.col("home_score"), F.col("away_score"))).alias("outcome"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.fixtures import usable_final
+from ..functions.fixtures import event_time, usable_final
 from ..operators.ledger import score_forecasts
 from ..operators.matching import merge_log
 from ..operators.rating import OTHER_STEP, STEP, advance
@@ -77,12 +77,14 @@ def first_write(ledger: str, key: str, period: str) -> Callable[[DataFrame, int]
 def lateness(stream: DataFrame, cutoff: str, delay: str = "48 hours") -> DataFrame:
     """Late forecasts are labelled, not dropped; the watermark bounds downstream state."""
     late = F.col("saved_at") >= F.col(cutoff)
-    return stream.withWatermark(cutoff, delay).withColumn("arrival", F.when(late, "late").otherwise("in_time"))
+    timed = stream.withColumns({"arrival": F.when(late, "late").otherwise("in_time"), "event_time": event_time(F.col(cutoff))})
+    return timed.withWatermark("event_time", delay)
 
 
 def weekly_counts(stream: DataFrame, time: str) -> DataFrame:
     """Monday-start tumbling weeks."""
-    return stream.withWatermark(time, "48 hours").groupBy(F.window(time, "7 days", startTime="4 days"), "sport").agg(
+    timed = stream.withColumn("event_time", event_time(F.col(time))).withWatermark("event_time", "48 hours")
+    return timed.groupBy(F.window("event_time", "7 days", startTime="4 days"), "sport").agg(
         F.count(F.lit(1)).alias("games"), F.count("outcome").alias("finished"))
 
 
