@@ -138,7 +138,7 @@ def _(t):
 
 
 @query("contact_scope", "edges nodes", f"""{KEPT}, sources AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'home' ELSE 'away' END AS channel
-    FROM nodes WHERE type = 'PROMO' AND id < 100),
+    FROM nodes WHERE type = 'PROMO'),
  targets AS (SELECT id FROM nodes WHERE class IN {_in(TARGET_CLASSES)}),
  per_target AS (SELECT channel, post, count(*) AS n, sum(contacts) AS contacts FROM kept JOIN sources ON pre = sources.id
     JOIN targets ON post = targets.id GROUP BY ALL)
@@ -147,7 +147,7 @@ SELECT channel, sources, count(post) AS by_any, count(*) FILTER (n = sources) AS
 FROM (SELECT channel, count(*) AS sources FROM sources GROUP BY channel) LEFT JOIN per_target USING (channel) GROUP BY ALL""")
 def _(t):
     nodes = t.nodes()
-    sources = nodes.where("type = 'PROMO' AND id < 100").select(
+    sources = nodes.where("type = 'PROMO'").select(
         "id", F.expr("CASE WHEN id % 2 = 0 THEN 'home' ELSE 'away' END").alias("channel"))
     targets = nodes.where(F.col("class").isin(TARGET_CLASSES)).select("id")
     return graph.contact_scope(graph.retained(t.edges(), nodes), sources, targets)

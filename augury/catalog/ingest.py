@@ -148,9 +148,9 @@ def _(t):
 
 @query("prediction_sink", "forecasts", f"""
 SELECT game_id, {r6("max(p_home) FILTER (model = 'm0')")} AS p_m0, {r6("max(p_home) FILTER (model = 'm1')")} AS p_m1,
-  {r6("max(p_home) FILTER (model = 'm2')")} AS p_m2 FROM forecasts WHERE seed = 0 GROUP BY game_id""")
+  {r6("max(p_home) FILTER (model = 'm2')")} AS p_m2 FROM forecasts GROUP BY game_id""")
 def _(t):
-    wide = sinks.prediction_table(t.forecasts().where("seed = 0"), ["game_id"], "model", F.col("p_home"), ["m0", "m1", "m2"])
+    wide = sinks.prediction_table(t.forecasts(), ["game_id"], "model", F.col("p_home"), ["m0", "m1", "m2"])
     folder = landing(t, "predictions")
     sinks.write_predictions(wide, folder)
     saved = t.spark.read.parquet(folder)

@@ -37,9 +37,9 @@ def _(t):
 
 @query("stream_first", "forecasts", """
 SELECT CAST(game_id AS VARCHAR) || ':' || model AS forecast_key, min_by(forecast_id, (saved_at, forecast_id)) AS forecast_id
-FROM forecasts WHERE seed = 1 GROUP BY ALL""")
+FROM forecasts GROUP BY ALL""")
 def _(t):
-    rows = t.forecasts().where("seed = 1").select(
+    rows = t.forecasts().select(
         F.concat_ws(":", F.col("game_id").cast("string"), "model").alias("forecast_key"), "forecast_id",
         F.struct("saved_at", "forecast_id").alias("saved_at"), F.date_format("start_time", "yyyy-MM").alias("month"),
         F.dayofmonth("start_time").alias("d"))
