@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, sharding, warc
+from . import language, neardup, packing, repeats, sharding, warc
 from .common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,15 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
         "held_out", language.fold(F.col("doc_id")) == 2)
     model = language.fit(docs.where("not held_out"))
     return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op5_neardup")
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder, "doc_id", "text"))
+
+
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.remove_repeats(documents(spark, folder, "doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
