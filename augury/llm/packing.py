@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, saved
+from .common import col, fresh, saved, spans_of
 
 #: White space other than space, tab and line ends: a tokenizer may not treat these as a word's end.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -19,34 +22,89 @@ ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u202
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+#: Words that normalisation leaves alone but for case, and the tokenizer's own split of them (fixed values).
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level alphabet of the model for the second bytes of Latin letters and for the first (fixed rule: printable
+#: bytes stand for themselves, others are moved up from 256 in order).
+STAND = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_CHAR = [chr(256 + STAND.index(b)) if b in STAND else chr(b) for b in range(256)]
+
+
+class Remembered(dict):
+    """A mapping that computes what it lacks and keeps it while there is room."""
+
+    def __init__(self, compute, most: int, longest: int):
+        super().__init__()
+        self.compute, self.most, self.longest = compute, most, longest
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.compute(word)
+        if len(self) < self.most and len(word) <= self.longest:
+            self[word] = value
+        return value
+
+
 class WordIds:
-    """Token ids of whole texts as little-endian 32-bit bytes, with a bounded memory of words already encoded.
+    """Token ids of whole texts as little-endian 32-bit bytes, with a bounded memory of words and word parts.
 
-    For a tokenizer whose pre-tokenizer never joins across white space, ids of a text are the ids of its words.
+    The tokenizer's pre-tokenizer never joins across white space, so a text's ids are the ids of its words. A word of
+    plain Latin characters is split as the tokenizer does and its parts go to the tokenizer's model; any other word, and
+    texts with unusual white space, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 300_000, longest: int = 40):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, words: int = 600_000, parts: int = 400_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.known, self.words, self.longest = Tokenizer.from_file(path), {}, words, longest
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
-
-    def __call__(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.encode([text])[0]
-        words, known = text.split(), self.known
-        new = list({w for w in words if w not in known})
-        if not new:
-            return b"".join([known[w] for w in words])
-        fresh = dict(zip(new, self.encode(new)))
-        ids = b"".join([known[w] if w in known else fresh[w] for w in words])
-        for word, value in fresh.items():
-            if len(self.known) < self.words and len(word) <= self.longest:
-                self.known[word] = value
-        return ids
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words = Remembered(self.word, words, longest)
+        self.parts = Remembered(self.part, parts, longest)
+
+    def encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, part: str) -> bytes:
+        known = part if part.isascii() else "".join([BYTE_CHAR[b] for b in part.encode()])
+        ids = [t.id for t in self.model.tokenize(known)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word) or "<|" in word or len(word) > 1000:
+            return self.encode(word)
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and n + 1 offsets into them. Each distinct word is looked up once."""
+        column = column.cast(pa.large_string())
+        odd = {i: self.encode(t) for i, t in enumerate(column.to_pylist()) if ODD_SPACE.search(t)}
+        if odd:
+            column = pa.array(["" if i in odd else t for i, t in enumerate(column.to_pylist())], pa.large_string())
+        words = pc.ascii_split_whitespace(column)
+        coded = words.flatten().dictionary_encode()
+        own = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
+        word = coded.indices.to_numpy()
+        count = size[word]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(start[word] - ends[:-1], count) + np.arange(ends[-1])]
+        offsets = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        if odd:
+            parts = [np.frombuffer(odd[i], "<u4") if i in odd else ids[offsets[i]: offsets[i + 1]] for i in range(len(column))]
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, offsets
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """One encoder for each worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1,
@@ -58,21 +116,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, e
     no row. Other columns are ignored.
     """
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(tokenizer_path), end_id.to_bytes(4, "little")
+        ids_of, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                             ("length", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            out, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at: at + 4 * max_tokens]
-                    out.append((doc, piece, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out, held = [], 0
-            if out:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+            for a, b in spans_of(sizes, 4_000_000):
+                ids, at = ids_of.texts(texts.slice(a, b - a))
+                out = []
+                for doc, first, last in zip(names[a:b], at[:-1], at[1:]):
+                    own = ids[first:last].tobytes() + end
+                    for piece, cut_at in enumerate(range(0, len(own), 4 * max_tokens)):
+                        part = own[cut_at: cut_at + 4 * max_tokens]
+                        out.append((doc, piece, cut_at // 4, len(part) // 4, part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))

@@ -1,6 +1,7 @@
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from tokenizers import Tokenizer
@@ -18,10 +19,11 @@ def tokenizer():
 def test_word_ids_are_the_ids_of_whole_texts(spark, tokenizer):
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(300).collect()]
     texts += ["", "It's we'll a\x1cb c\x85d", "İstanbul ΑΣ Σ. é ́x", "<|endoftext|> a<|endoftext|>b", "1234 !?_x 日本語 🙂👍", "a b\x0bc"]
-    ids_of = WordIds(PATH, words=50)
-    for text in texts:
-        want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert ids_of(text) == struct.pack(f"<{len(want)}I", *want)
+    texts += ["the's they've ''t I'LL x''s 're're", "Àß ÿ × ÷ ª º µ Öl-Ärger_9é9", "a" * 1500, "\u00e9" * 50 + "!" * 60]
+    ids_of = WordIds(PATH, words=50, parts=50)
+    ids, at = ids_of.texts(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[at[i]: at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_and_sequences(spark, make, tokenizer):
