@@ -132,24 +132,35 @@ def codes(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(spread, "rep long, code long")
 
 
-def postings(classes: DataFrame, size: int, matches: int, frequent: int) -> DataFrame:
+def postings(classes: DataFrame, size: int, matches: int, frequent: int, most_common: int = 2_000_000) -> DataFrame:
     """(code, rep, number, mask): each class under its size - matches + 1 rarest coordinates.
 
     Two signatures that agree in ``matches`` coordinates share one of these prefixes under any one order of all codes.
     The order puts codes of more than ``frequent`` classes last, by count, so lists of common passages are skipped
     until a pair already agrees elsewhere. ``mask`` has the bits of the prefix coordinates, ``number`` the coordinate.
+    Up to ``most_common`` such codes (32 MB) travel to the tasks as one table; more are joined to the codes.
     """
     prefix = size - matches + 1
-    spread = codes(classes)
-    common = spread.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent)
-    hot = spread.join(common, "code").groupBy("rep").agg(F.collect_list(F.struct("code", "n")).alias("hot"))
+    common = saved(codes(classes).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent), "common-codes")
+    rows = classes.select("rep", "signature")
+    if common.count() <= most_common:  # 16 bytes each travel to every task
+        table = np.array(sorted((r["code"], r["n"]) for r in common.toLocalIterator()), np.int64).reshape(-1, 2)
+        shared = classes.sparkSession.sparkContext.broadcast(table)
+        rows = rows.withColumn("hot", F.lit(None).cast("array<struct<code: long, n: long>>"))
+    else:
+        hot = codes(classes).join(common, "code").groupBy("rep").agg(F.collect_list(F.struct("code", "n")).alias("hot"))
+        rows, shared = rows.join(hot, "rep", "left").select("rep", "signature", "hot"), None
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, numbers, values, masks = [], [], [], []
+            table = np.zeros((0, 2), np.int64) if shared is None else shared.value
             for rep, signature, hot_codes in zip(*(c.to_pylist() for c in batch.columns)):
                 code = np.frombuffer(signature, np.uint32).astype(np.int64) | (np.arange(size) << 32)
                 count = np.zeros(size, np.int64)
+                if len(table):
+                    at = np.minimum(np.searchsorted(table[:, 0], code), len(table) - 1)
+                    count = np.where(table[at, 0] == code, table[at, 1], 0)
                 for h in hot_codes or ():
                     count[h["code"] >> 32] = h["n"]
                 chosen = np.lexsort((code, count))[:prefix]
@@ -163,7 +174,6 @@ def postings(classes: DataFrame, size: int, matches: int, frequent: int) -> Data
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (values, reps, numbers, masks)],
                     names=["code", "rep", "number", "mask"])
 
-    rows = classes.select("rep", "signature").join(hot, "rep", "left").select("rep", "signature", "hot")
     return rows.mapInArrow(choose, "code long, rep long, number long, mask long")
 
 
@@ -183,31 +193,37 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets meet 100 * intersection >= percent * union. Only texts that occur in a pair are shingled."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
+
+def shingles_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(rep, shingles) of the texts whose rep is in ``needed``; the ids grow with the corpus, so they are never broadcast."""
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["rep", "shingles"])
 
+    chosen = texts.join(needed.hint("merge"), "rep", "left_semi").select("rep", "text")
+    return saved(chosen.mapInArrow(sets, "rep long, shingles binary"), "shingles")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets meet 100 * intersection >= percent * union. Only texts that occur in a pair are shingled."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in both), percent)
+                    for both in zip(batch.column("sa"), batch.column("sb"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    shingled = saved(texts.join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(
-        sets, "rep long, shingles binary"), "shingles")
+    shingled = shingles_of(texts, needed)
     both = pairs.join(shingled.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(
         shingled.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
@@ -219,41 +235,78 @@ def star_pairs(posted: DataFrame) -> DataFrame:
     return posted.join(heads, "code").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def remaining_pairs(posted: DataFrame, classes: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
-    """Pairs of one posting list that are in different components so far and agree in ``matches`` coordinates.
+def blocks_of(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of posting lists that are in different components so far, dealt to pairs of blocks (code, i, j).
 
     Lists whose members are all in one component need nothing more. Others are cut into blocks of about 256 members,
-    and every two blocks meet in a task of their own, so no list is gathered whole. A pair is tested in the list of its
-    first shared coordinate only.
+    and every two blocks meet in a task of their own, so no list is gathered whole.
     """
     own = posted.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = own.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(
         "_lo <> _hi").select("code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = own.join(mixed, "code").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    return members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "number",
-        "mask").join(classes.select("rep", "signature"), "rep")
-
+        "mask")
+
+
+def meeting_pairs(table: pa.Table, i: int, j: int, matches: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows) of two blocks with different labels and agreeing signatures, in the list of the pair's first
+    shared coordinate only."""
+    rep, label, block, mask = (table.column(c).to_numpy() for c in ("rep", "label", "block", "mask"))
+    number = table.column("number")[0].as_py()
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
+    coordinate = np.arange(signature.shape[1])
+    right = np.flatnonzero(block == j)
+    for row in np.flatnonzero(block == i):
+        agree = signature[right] == signature[row]
+        good = (agree.sum(axis=1) >= matches) & (label[right] != label[row])
+        if i == j:
+            good &= rep[right] > rep[row]
+        if good.any():
+            both = (mask[right[good]] & mask[row])[:, None] >> coordinate & 1
+            earlier = (agree[good] & (both == 1))[:, :number].any(axis=1)
+            if not earlier.all():
+                yield row, right[good][~earlier]
+
+
+def remaining_links(posted: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that the stars have left apart.
+
+    Signatures tell first which members of two blocks meet anyone; only those come again with their full sets. Inside a
+    block pair a link joins its two components, so links stay fewer than members however many pairs are similar.
+    """
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        rep, label, block, mask = (table.column(c).to_numpy() for c in ("rep", "label", "block", "mask"))
-        number = int(table.column("number")[0].as_py())
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
-        before = (1 << number) - 1
-        found_a, found_b = [], []
-        left = np.flatnonzero(block == key[1].as_py())
-        right = np.flatnonzero(block == key[2].as_py())
-        for i in left:
-            agree = signature[right] == signature[i]
-            good = (agree.sum(axis=1) >= matches) & (label[right] != label[i]) & (rep[right] > rep[i] if key[1] == key[2] else True)
-            for j in right[good]:
-                shared = int(mask[i]) & int(mask[j]) & before
-                same = signature[i] == signature[j]
-                if not any(same[k] for k in range(number) if shared >> k & 1):
-                    found_a.append(min(rep[i], rep[j]))
-                    found_b.append(max(rep[i], rep[j]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-    return dealt.groupBy("code", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+        rows: set[int] = set()
+        for row, others in meeting_pairs(table, key[1].as_py(), key[2].as_py(), matches):
+            rows.add(int(row))
+            rows.update(others.tolist())
+        return table.select(names).take(pa.array(sorted(rows), pa.int64()))
+
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+        rep, parent = table.column("rep").to_pylist(), {}
+
+        def top(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        label, links = table.column("label").to_pylist(), []
+        for row, others in meeting_pairs(table, key[1].as_py(), key[2].as_py(), matches):
+            for other in others.tolist():
+                a, b = top(label[row]), top(label[other])
+                if a != b and similar(sets[row], sets[other], percent):
+                    parent[a] = b
+                    links.append((rep[row], rep[other]))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    names = ["code", "i", "j", "block", "rep", "label", "number", "mask"]
+    sign = classes.select("rep", "signature")
+    met = saved(blocks_of(posted, labels).join(sign, "rep").groupBy("code", "i", "j").applyInArrow(
+        meet, "code long, i int, j int, block int, rep long, label long, number long, mask long"), "met")
+    sets = shingles_of(texts, met.select("rep").distinct())
+    return met.join(sign, "rep").join(sets, "rep").groupBy("code", "i", "j").applyInArrow(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 64, matches: int = 33, frequent: int = 24,
@@ -286,8 +339,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 64, matches:
     star = saved(agreeing(star_pairs(posted), alone, matches), "star")
     first = saved(confirmed(star, texts, percent), "links-star")
     labels = smallest_reachable(first)
-    more = saved(remaining_pairs(posted, alone, labels, matches).join(star, ["a", "b"], "left_anti"), "rest")
-    rest = saved(confirmed(more, texts, percent), "links-rest")
+    rest = saved(remaining_links(posted, alone, labels, texts, matches, percent), "links-rest")
     whole = smallest_reachable(first.unionByName(rest).unionByName(ids))
     out = rows.join(whole.withColumnRenamed("rep", "doc"), "doc", "left").withColumn("component", F.coalesce("label", "doc"))
     nullable = F.when(F.col("component") != -(1 << 63), F.col("component"))
