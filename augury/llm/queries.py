@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, packing, repeats, sharding, warc
+from . import language, leaks, licenses, neardup, packing, phrases, private, repeats, sharding, warc
 from .common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,64 @@ def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.remove_repeats(documents(spark, folder, "doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = phrases.compared_with_edits(documents(spark, folder, "doc_id", "text"))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                           "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = leaks.benchmark_leaks(documents(spark, folder, "doc_id", "text"), items, keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", "leak.distance", "leak.item_chars")
+
+
+#: A document's place in a tree of its source: one to three folders deep.
+PATH = ("concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN concat('a', doc_id DIV 64 % 16) END, "
+        "CASE WHEN doc_id % 3 > 1 THEN concat('b', doc_id DIV 8 % 8) END, concat(doc_id, '.txt'))")
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+
+
+@query("op2_licenses", f"""
+WITH files AS (SELECT doc_id, {PATH.replace("DIV", "//")} AS path, text FROM documents),
+stated AS (SELECT path, line, statement FROM (SELECT path, unnest(string_split(text, chr(10))) AS statement,
+             unnest(range(0, len(string_split(text, chr(10))))) AS line FROM files)
+           WHERE regexp_matches(statement, '{licenses.CUE}')),
+counted AS (SELECT statement, count(*) AS n FROM stated GROUP BY ALL),
+terms AS (SELECT statement, n, term, count(*) AS tf FROM (SELECT statement, n,
+            unnest(regexp_extract_all(lower(statement), '{licenses.WORD}')) AS term FROM counted) GROUP BY ALL),
+model AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(template), '{licenses.WORD}')) AS term
+          FROM (VALUES {_TEMPLATE_ROWS}) AS t(license, template)) GROUP BY ALL),
+freq AS (SELECT term, sum(n) AS df FROM terms GROUP BY ALL),
+total AS (SELECT coalesce(sum(n), 0) AS total FROM counted),
+own AS (SELECT statement, term, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM terms LEFT JOIN freq USING (term), total),
+base AS (SELECT license, term, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM model LEFT JOIN freq USING (term), total),
+scored AS (SELECT statement, license, round(dot / (s * b), 6) AS score
+           FROM (SELECT statement, license, sum(own.w * base.w) AS dot FROM own JOIN base USING (term) GROUP BY ALL)
+           JOIN (SELECT statement, sqrt(sum(w * w)) AS s FROM own GROUP BY ALL) USING (statement)
+           JOIN (SELECT license, sqrt(sum(w * w)) AS b FROM base GROUP BY ALL) USING (license)),
+named AS (SELECT path, line, license, score FROM stated JOIN
+           (SELECT * FROM scored WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY statement ORDER BY score DESC, license) = 1)
+           USING (statement)),
+mine AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+tops AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, path, license, score FROM named WHERE line = 0),
+folder AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY up ORDER BY score DESC, license, path) = 1),
+near AS (SELECT f.path, d.license, d.score, d.path AS src FROM files f JOIN folder d
+           ON starts_with(f.path, d.up || '/') QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.up) DESC) = 1)
+SELECT doc_id, files.path, coalesce(m.license, n.license) AS license, coalesce(m.score, n.score) AS score,
+       CASE WHEN m.path IS NOT NULL THEN 'own' WHEN n.path IS NOT NULL THEN 'inherited' END AS origin, coalesce(m.path, n.src) AS declared_by
+FROM files LEFT JOIN mine m ON m.path = files.path LEFT JOIN near n ON n.path = files.path""")
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    files = documents(spark, folder, "doc_id", "source", "text").withColumn("path", F.expr(PATH))
+    found = licenses.scan_licenses(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long"))
+
+
+@query("op10_private")
+def op10_private(spark: SparkSession, folder: str) -> DataFrame:
+    return private.replace_private(documents(spark, folder, "doc_id", "text"), key="surrogates-1")
