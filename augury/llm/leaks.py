@@ -14,7 +14,7 @@ from .common import col, fresh, mix
 
 GRAM = 12  # bytes of a seed
 SEEDS = 4  # seeds that a window needs on neighbouring diagonals
-TABLES, SAMPLES = 48, 5  # bit-sampling tables and sampled steps in each
+TABLES, SAMPLES = 128, 3  # bit-sampling tables and sampled steps in each
 BITS = 22
 CHUNK, SLICE = 8_000_000, 1_000_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -125,13 +126,14 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "finge
     return docs.withColumn(out, print_of(col(text_col).cast("string")))
 
 
-def blocks(ids: DataFrame) -> list[tuple[int, int]]:
-    """Smallest and largest id of contiguous blocks: one pair of numbers for each range partition of the ids."""
-    cut = ids.repartitionByRange("doc").groupBy(F.spark_partition_id().alias("_part")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+def blocks(rows: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
+    """Smallest and largest id of contiguous blocks of about ``block_bytes`` of text: two numbers for each block."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cut = rows.select("doc").repartitionByRange(max(1, ceil(size / block_bytes)), "doc").groupBy(F.spark_partition_id().alias("_part")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     return sorted((r["lo"], r["hi"]) for r in cut.collect())
 
 
-def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compared_with_edits(docs: DataFrame, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of edited texts, with their likenesses.
 
     The next document is the one with the next smaller id; after the smallest id comes the largest. The edited text keeps
@@ -144,7 +146,7 @@ def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST_ID)))
-    cuts = blocks(rows.select("doc"))
+    cuts = blocks(rows, block_bytes)
     low, high = np.array([c[0] for c in cuts], np.int64), {c[1]: i for i, c in enumerate(cuts)}
 
     @F.pandas_udf("array<int>")

@@ -134,7 +134,8 @@ def units_of(entity: Column, kind: Column) -> Column:
 def distinct_surrogates(units: DataFrame, key: str, most_attempts: int = 40) -> DataFrame:
     """(unit, value, new) for distinct (unit, value): different values of a kind get different surrogates, and none equals
     a value of that kind that occurs. Those that collide (all but the smallest value) try again with another attempt."""
-    known = units.select("unit", "value").distinct()
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = units.select("unit", "value").distinct().repartition(tasks, "unit", "value")  # few bytes, much work a row
     current = saved(known.withColumn("attempt", F.lit(0)).withColumn(
         "new", surrogate(key, F.col("unit"), F.col("value"), F.col("attempt"))), "surrogates")
     for _ in range(most_attempts):

@@ -265,6 +265,8 @@ def sorted_repeats(cut: DataFrame, block_bytes: int = 6_000_000) -> DataFrame:
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] == held[-1][:3]:
+                    continue  # the same run of a repeated row
                 if held and row[0] != held[-1][0]:
                     if len(held) == 1 or held[-2][0] != held[-1][0]:
                         size -= len(held.pop()[3])  # alone in its part: nothing to compare with
