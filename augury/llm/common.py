@@ -46,6 +46,17 @@ def drop_at_exit(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """One large helper per worker process at a time: asking for another lets the last one go."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit scrambling of an unsigned array."""
     x = x ^ (x >> np.uint64(30))

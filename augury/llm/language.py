@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, saved
+from .common import col, fresh, held, saved
 
 BITS = np.uint64(21)  # a code point has at most 21 bits, so three of them fit in one unsigned 64-bit gram
 BLANK = ord(" ")
-SLICE = 1_000_000  # characters that are counted at a time
+SLICE = 300_000  # characters that are counted at a time
 UNDETERMINED = "und"
 
 
-@lru_cache(1)
 def letters() -> np.ndarray:
     """Code point to itself for letters, to a blank for anything else."""
+    return held("letters", _letters)
+
+
+def _letters() -> np.ndarray:
     points = np.arange(0x110000, dtype=np.uint32)
     alpha = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
     return np.where(alpha, points, np.uint32(BLANK))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix, saved, spans_of, utf8_parts
+from .common import col, held, mix, saved, spans_of, utf8_parts
 from .components import smallest_reachable
 
 WIDTH = 5
@@ -71,7 +71,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def shingle_sets(column: pa.Array, limit: int = 4_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, limit: int = 1_000_000) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text, in order."""
     data, offsets = utf8_parts(column)
     for a, b in spans_of(offsets, limit):
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     """(doc_id, n_shingles, set_hash, signature): set_hash names the shingle set; null without shingles."""
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        coordinate = MinHash(size)
+        coordinate = held(("minhash", size), lambda: MinHash(size))
         for batch in batches:
             count, name, signature = [], [], []
             for own in shingle_sets(batch.column(1)):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, saved, spans_of
+from .common import col, fresh, held, saved, spans_of
 
 #: White space other than space, tab and line ends: a tokenizer may not treat these as a word's end.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -97,14 +97,9 @@ class WordIds:
         return ids, offsets
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
     """One encoder for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1,
