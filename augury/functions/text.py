@@ -156,4 +156,4 @@ def only_tokens(text: Column, allowed: list[str]) -> Column:
 
 def spreadsheet_safe(cell: Column) -> Column:
     """Prefix a quote when a spreadsheet would read the cell as a formula."""
-    return F.when(cell.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), cell)).otherwise(cell)
+    return F.when(cell.rlike(r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]*[=+\-@]"), F.concat(F.lit("'"), cell)).otherwise(cell)

@@ -11,16 +11,19 @@ from ..plans.ordered import hash_ranked, ranked
 def hash_top(keys: DataFrame, key: str, items: DataFrame, item: str, n: int, salt: str) -> DataFrame:
     """The n items of every key with the smallest sha256(salt:key:item).
 
-    Items are a declared vocabulary (a type list): they travel as one array, refused beyond 10,000 entries, so keys
-    are expanded in place without a join.
+    Items are a declared vocabulary (a type list) of any length: it travels as one array, and every key folds over it
+    keeping only its n best so far, so no scored list is ever held and nothing is joined.
     """
-    listed = items.select(item).distinct().agg(F.array_sort(F.collect_list(item)).alias("items"))
-    bounded = listed.select(F.when(F.size("items") <= 10_000, F.col("items")).otherwise(
-        F.raise_error(F.lit("item vocabulary exceeds 10000 entries"))).alias("items"))
-    scored = F.transform("items", lambda x: F.struct(
-        F.sha2(F.concat_ws(":", F.lit(salt), F.col(key), x), 256).alias("h"), x.alias("item")))
-    best = F.slice(F.array_sort(scored), 1, n)
-    return keys.select(key, bounded.scalar().alias("items")).select(key, F.posexplode(best).alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), "b.item")
+    listed = items.select(item).distinct().agg(F.array_sort(F.collect_list(item)).alias("items")).scalar()
+    none = F.array().cast("array<struct<h: string, item: string>>")
+
+    def better(best: Column, x: Column) -> Column:
+        scored = F.struct(F.sha2(F.concat_ws(":", F.lit(salt), F.col(key), x), 256).alias("h"), x.alias("item"))
+        return F.slice(F.array_sort(F.array_append(best, scored)), 1, n)
+
+    best = F.aggregate(F.col("_items"), none, better)
+    return keys.select(key, listed.alias("_items")).select(key, F.posexplode(best).alias("rank", "b")).select(
+        key, (F.col("rank") + 1).alias("rank"), "b.item")
 
 
 def interleave(rows: DataFrame, key: str, side: str, sides: list[str], salt: str) -> DataFrame:
