@@ -30,9 +30,11 @@ def _(t):
 _SEASON = "year(start_time) - CASE WHEN month(start_time) >= 7 THEN 0 ELSE 1 END"
 
 
+#: Leagues in which a pairing occurs once per season; in the others, as in cups, it may occur again.
+PAIRED = ("L0", "L1", "L2")
 MERGED = f"""both_sides AS (SELECT game_id, sport, league, home_key, away_key, start_time, status, 0 AS seq FROM games
                 UNION ALL SELECT *, 1 FROM incoming),
- keyed AS (SELECT *, CASE WHEN sport = 'soccer' THEN concat_ws('|', league, {_SEASON}, home_key, away_key)
+ keyed AS (SELECT *, CASE WHEN sport = 'soccer' AND league IN ('L0', 'L1', 'L2') THEN concat_ws('|', league, {_SEASON}, home_key, away_key)
                      ELSE CAST(game_id AS VARCHAR) END AS alt FROM both_sides),
  merged AS (SELECT * FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM keyed o WHERE o.alt = k.alt AND (o.seq, o.start_time, o.game_id)
      > (k.seq, k.start_time, k.game_id)) AND NOT EXISTS (SELECT 1 FROM keyed o WHERE o.game_id = k.game_id AND
@@ -50,7 +52,7 @@ def _(t):
     incoming = existing.where("game_id % 3 = 0").withColumns({
         "start_time": F.expr("timestampadd(HOUR, 24, start_time)"),
         "game_id": F.expr("CASE WHEN sport = 'soccer' AND game_id % 2 = 0 THEN game_id + 100000000 ELSE game_id END")})
-    return matching.merge_games(existing, incoming).withColumn("start_time", F.col("start_time").cast("string"))
+    return matching.merge_games(existing, incoming, PAIRED).withColumn("start_time", F.col("start_time").cast("string"))
 
 
 @query("history_union", "games", """
@@ -75,15 +77,18 @@ def _(t):
     return audit.id_difference(left, right, "game_id")
 
 
-@query("matrix_complete", "trials", """, cells AS (SELECT unit, condition, seed_set, count(*) AS n FROM trials GROUP BY ALL)
-SELECT unit, condition, seed_set, 'duplicate' AS problem FROM cells WHERE n > 1 AND condition IN ('view', 'click', 'purchase')
-UNION ALL SELECT unit, condition, seed_set, 'unexpected' FROM cells WHERE condition NOT IN ('view', 'click', 'purchase')
-UNION ALL SELECT u.unit, c.condition, s.seed_set, 'missing' FROM (SELECT DISTINCT unit FROM trials) u
+@query("matrix_complete", "trials", """, cells AS (SELECT unit, condition, seed_set, count(*) AS n FROM trials GROUP BY ALL),
+ units AS (SELECT DISTINCT c_custkey AS unit FROM customer),
+ known AS (SELECT *, condition IN ('view', 'click', 'purchase') AND unit IN (SELECT unit FROM units) AS fits FROM cells)
+SELECT unit, condition, seed_set, 'duplicate' AS problem FROM known WHERE n > 1 AND fits
+UNION ALL SELECT unit, condition, seed_set, 'unexpected' FROM known WHERE NOT fits
+UNION ALL SELECT u.unit, c.condition, s.seed_set, 'missing' FROM units u
   CROSS JOIN (VALUES ('view'), ('click'), ('purchase')) c(condition) CROSS JOIN (VALUES (0), (1)) s(seed_set)
   ANTI JOIN cells x ON x.unit = u.unit AND x.condition = c.condition AND x.seed_set = s.seed_set""")
 def _(t):
     rows = t.trials().select("unit", "condition", "seed_set")
-    return matching.matrix_complete(rows, "unit", {"condition": ["view", "click", "purchase"], "seed_set": [0, 1]})
+    units = t.read("customer").select(F.col("c_custkey").cast(rows.schema["unit"].dataType).alias("unit"))
+    return matching.matrix_complete(rows, "unit", {"condition": ["view", "click", "purchase"], "seed_set": [0, 1]}, units)
 
 
 @query("table_diff", sql="""

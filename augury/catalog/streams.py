@@ -8,14 +8,15 @@ from ..streaming import jobs
 from .features import _RATED
 from .ingest import landing
 from .ledgers import _SNAPSHOT, SQL_NOW, now, snapshot
-from .matching import INCOMING, MERGED
+from .matching import INCOMING, MERGED, PAIRED
 from .registry import query, r6
 
 
-def land(df, folder, parts):
-    """Land a table as consecutive files, oldest first; ``parts`` are row conditions."""
+def deliver(df, folder, parts, run):
+    """Land a table in consecutive deliveries (row conditions) of any number of files; the job runs after each."""
     for condition in parts:
-        df.where(condition).coalesce(1).write.mode("append").parquet(folder)
+        df.where(condition).write.mode("append").parquet(folder)
+        run()
 
 
 _GAME = ["game_id", "sport", "league", "home_key", "away_key", "start_time", "status"]
@@ -28,11 +29,14 @@ def _(t):
     incoming = existing.where("game_id % 3 = 0").withColumns({
         "start_time": F.expr("timestampadd(HOUR, 24, start_time)"),
         "game_id": F.expr("CASE WHEN sport = 'soccer' AND game_id % 2 = 0 THEN game_id + 100000000 ELSE game_id END")})
-    source, log = landing(t, "source"), landing(t, "log")
-    land(existing.withColumn("wave", F.lit(0)).unionByName(incoming.withColumn("wave", F.lit(1))), source, ["wave = 0", "wave = 1"])
-    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
-    jobs.run_available(stream, landing(t, "checkpoint"), jobs.append_batch(log))
-    return jobs.merged_schedule(t.spark, log).withColumn("start_time", F.col("start_time").cast("string"))
+    source, log, checkpoint = landing(t, "source"), landing(t, "log"), landing(t, "checkpoint")
+    rows = existing.withColumn("wave", F.lit(0)).unionByName(incoming.withColumn("wave", F.lit(1)))
+
+    def stream():
+        return jobs.read_stream(t.spark, rows.schema, source).drop("wave")
+
+    deliver(rows, source, ["wave = 0", "wave = 1"], lambda: jobs.run_available(stream(), checkpoint, jobs.append_batch(log)))
+    return jobs.merged_schedule(t.spark, log, PAIRED).withColumn("start_time", F.col("start_time").cast("string"))
 
 
 @query("stream_first", "forecasts", """
@@ -43,14 +47,17 @@ def _(t):
         F.concat_ws(":", F.col("game_id").cast("string"), "model").alias("forecast_key"), "forecast_id",
         F.struct("saved_at", "forecast_id").alias("saved_at"), F.date_format("start_time", "yyyy-MM").alias("month"),
         F.dayofmonth("start_time").alias("d"))
-    source, ledger = landing(t, "source"), landing(t, "ledger")
+    source, ledger, checkpoint = landing(t, "source"), landing(t, "ledger"), landing(t, "checkpoint")
     # Two deliveries: the earliest forecast of every key is in the first or, for one day in three, in the second.
     first = rows.groupBy("forecast_key").agg(F.min("saved_at").alias("earliest"))
     waves = rows.join(first, "forecast_key").withColumn("wave", F.when(
         (F.col("saved_at") == F.col("earliest")) & (F.col("d") % 3 > 0), 0).otherwise(1)).drop("earliest", "d")
-    land(waves, source, ["wave = 0", "wave = 1"])
-    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
-    jobs.run_available(stream, landing(t, "checkpoint"), jobs.first_write(ledger, "forecast_key", "month"))
+
+    def stream():
+        return jobs.read_stream(t.spark, waves.schema, source).drop("wave")
+
+    deliver(waves, source, ["wave = 0", "wave = 1"],
+            lambda: jobs.run_available(stream(), checkpoint, jobs.first_write(ledger, "forecast_key", "month")))
     return t.spark.read.parquet(ledger).select("forecast_key", "forecast_id")
 
 
@@ -58,10 +65,13 @@ def _(t):
 SELECT forecast_id, CASE WHEN saved_at >= fixture_start THEN 'late' ELSE 'in_time' END AS arrival FROM forecasts""")
 def _(t):
     rows = t.forecasts().select("forecast_id", "saved_at", "fixture_start", "seed")
-    source, out = landing(t, "source"), landing(t, "late")
-    land(rows, source, ["seed = 0", "seed = 1", "seed = 2"])
-    stream = jobs.lateness(jobs.read_stream(t.spark, rows.schema, source), "fixture_start")
-    jobs.to_table(stream.select("forecast_id", "arrival"), out, landing(t, "checkpoint"))
+    source, out, checkpoint = landing(t, "source"), landing(t, "late"), landing(t, "checkpoint")
+
+    def stream():
+        return jobs.lateness(jobs.read_stream(t.spark, rows.schema, source), "fixture_start")
+
+    deliver(rows, source, ["seed = 0", "seed = 1", "seed = 2"],
+            lambda: jobs.to_table(stream().select("forecast_id", "arrival"), out, checkpoint))
     return t.spark.read.parquet(out)
 
 
@@ -69,12 +79,14 @@ def _(t):
 SELECT sport, CAST(date_trunc('week', start_time) AS DATE) AS week, count(*) AS games, count(outcome) AS finished FROM games GROUP BY ALL""")
 def _(t):
     rows = t.games().select("sport", "start_time", "outcome")
-    source, log = landing(t, "source"), landing(t, "weeks")
-    land(rows, source, ["year(start_time) < 1998", "year(start_time) >= 1998"])
-    stream = jobs.weekly_counts(jobs.read_stream(t.spark, rows.schema, source), "start_time")
-    query_ = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", landing(t, "checkpoint"))
-              .outputMode("update").foreachBatch(jobs.append_batch(log)).start())
-    query_.awaitTermination()
+    source, log, checkpoint = landing(t, "source"), landing(t, "weeks"), landing(t, "checkpoint")
+
+    def stream():
+        return jobs.weekly_counts(jobs.read_stream(t.spark, rows.schema, source), "start_time")
+
+    # The later events first: an old result that comes after them must still count.
+    deliver(rows, source, ["year(start_time) >= 1998", "year(start_time) < 1998"],
+            lambda: jobs.run_available(stream(), checkpoint, jobs.append_batch(log), "update"))
     latest = t.spark.read.parquet(log).groupBy("window", "sport").agg(
         F.max_by("games", "batch").alias("games"), F.max_by("finished", "batch").alias("finished"))
     return latest.select("sport", utc_day(F.col("window.start")).alias("week"), "games", "finished")
@@ -96,12 +108,20 @@ def _(t):
     final = snapshot(t).select("game_id", "sport", "home_key", "away_key", "start_time", "status", "home_score", "away_score",
                                "outcome", "observed_at")
     early = final.withColumns({"status": F.lit("scheduled"), "home_score": F.lit(None).cast("int"),
-                               "away_score": F.lit(None).cast("int"), "outcome": F.lit(None).cast("int")})
-    source, log = landing(t, "source"), landing(t, "scores")
-    land(early.withColumn("wave", F.lit(0)).unionByName(final.withColumn("wave", F.lit(1))), source, ["wave = 0", "wave = 1"])
-    stream = jobs.read_stream(t.spark, t.spark.read.parquet(source).schema, source).drop("wave")
+                               "away_score": F.lit(None).cast("int"), "outcome": F.lit(None).cast("int"),
+                               "observed_at": F.expr("timestampadd(DAY, -1, observed_at)")})
+    source, log, checkpoint = landing(t, "source"), landing(t, "scores"), landing(t, "checkpoint")
+    # A third of the final forms comes with the early ones, a third before them: the observation time decides.
+    place = F.col("game_id") % 3
+    rows = early.withColumn("wave", F.when(place == 2, 1).otherwise(0)).unionByName(
+        final.withColumn("wave", F.when(place == 0, 1).otherwise(0)))
+
+    def stream():
+        return jobs.read_stream(t.spark, rows.schema, source).drop("wave")
+
     forecasts = t.forecasts().withColumn("p", probability.vector())
-    jobs.run_available(stream, landing(t, "checkpoint"), jobs.rescore(forecasts, log, now))
+    deliver(rows, source, ["wave = 0", "wave = 1"],
+            lambda: jobs.run_available(stream(), checkpoint, jobs.rescore(forecasts, log, now)))
     return jobs.current_scores(t.spark, log).select("forecast_id", "model", "sport", "status")
 
 
@@ -109,9 +129,12 @@ def _(t):
 SELECT game_id, {r6("home_rating", 5)} AS home_rating, {r6("away_rating", 5)} AS away_rating FROM rated""", recursive=True)
 def _(t):
     rows = t.games().drop("source_key")
-    source, out = landing(t, "source"), landing(t, "ratings")
-    land(rows, source, ["year(start_time) < 1997", "year(start_time) = 1997", "year(start_time) > 1997"])
-    stream = jobs.rating_stream(jobs.read_stream(t.spark, rows.schema, source))
-    jobs.to_table(stream, out, landing(t, "checkpoint"))
+    source, out, checkpoint = landing(t, "source"), landing(t, "ratings"), landing(t, "checkpoint")
+
+    def stream():
+        return jobs.rating_stream(jobs.read_stream(t.spark, rows.schema, source))
+
+    deliver(rows, source, ["year(start_time) < 1997", "year(start_time) = 1997", "year(start_time) > 1997"],
+            lambda: jobs.to_table(stream(), out, checkpoint))
     return t.spark.read.parquet(out).select("game_id", F.round("home_rating", 5).alias("home_rating"),
                                             F.round("away_rating", 5).alias("away_rating"))

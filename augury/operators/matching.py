@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
@@ -12,6 +13,9 @@ from ..functions.fixtures import season_year
 from ..functions.probability import label_probability, log_loss, vector
 from ..plans.ordered import ranked
 
+#: Fixed value: leagues in which a pairing occurs once per season.
+SEASON_PAIR_LEAGUES = ("EPL",)
+
 
 def same_events(df: DataFrame, keys: list[str], models: list[str]) -> DataFrame:
     """Seed-averaged loss of every model as columns, kept only where all models scored the event."""
@@ -113,17 +117,23 @@ def _numbered_events(fixtures: DataFrame, slots: DataFrame) -> DataFrame:
     return numbered.select(*teams, "instant", F.col("nth").cast("int").alias("nth"), F.col("game_id").alias("matched_id"))
 
 
-def merge_log(rows: DataFrame, seq: str) -> DataFrame:
+def merge_log(rows: DataFrame, seq: str, leagues: Sequence[str] = SEASON_PAIR_LEAGUES, observed: str | None = None) -> DataFrame:
     """Current events of a revision log: a row counts while no later row has its id or its season pairing.
 
-    A soccer pairing occurs once per season (seasons turn in July), so a moved date replaces the earlier row. Repeated
-    revisions collapse with map-side combine first; the two windows then see one row per (id, pairing).
+    In the soccer ``leagues`` a pairing occurs once per season (seasons turn in July), so a moved date replaces the
+    earlier row; elsewhere, cups for example, only the id does. Later means a larger ``seq``, then a larger
+    ``observed`` (fetch time) where that column is named, then a larger start. Revisions that tie in all of these are
+    ordered by their whole content, so row order never decides. Repeated revisions collapse with map-side combine
+    first; the two windows then see one row per (id, pairing).
     """
     rest = [c for c in rows.columns if c != "game_id"]
-    pairing = F.when(F.col("sport") == "soccer", F.concat_ws(
+    paired = (F.col("sport") == "soccer") & F.col("league").isin(*leagues)
+    pairing = F.when(paired, F.concat_ws(
         "|", "league", season_year(F.col("start_time")).cast("string"), "home_key", "away_key")).otherwise(
         F.col("game_id").cast("string"))
-    order = F.struct(F.col(seq), F.col("start_time"), F.col("game_id"))
+    first = [seq, *([observed] if observed else []), "start_time", "game_id"]
+    content = F.to_json(F.struct(*[c for c in rest if c not in first]))
+    order = F.struct(*first, content.alias("_content"))
     one = rows.groupBy("game_id", pairing.alias("_alt")).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
         "game_id", "_alt", "_r.*").withColumn("_order", order)
     latest = F.max("_order").over(Window.partitionBy("_alt"))
@@ -133,9 +143,11 @@ def merge_log(rows: DataFrame, seq: str) -> DataFrame:
         "game_id", *[c for c in rest if c != seq])
 
 
-def merge_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_games(existing: DataFrame, incoming: DataFrame, leagues: Sequence[str] = SEASON_PAIR_LEAGUES,
+                observed: str | None = None) -> DataFrame:
     """Incoming rows replace rows with the same id or the same season pairing."""
-    return merge_log(existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1))), "_seq")
+    both = existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)))
+    return merge_log(both, "_seq", leagues, observed)
 
 
 def history_union(history: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
@@ -144,10 +156,12 @@ def history_union(history: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.min("origin").alias("origin"))
 
 
-def matrix_complete(rows: DataFrame, unit: str, levels: dict[str, list]) -> DataFrame:
+def matrix_complete(rows: DataFrame, unit: str, levels: dict[str, list], units: DataFrame | None = None) -> DataFrame:
     """Cells of units x levels that do not occur exactly once: missing, duplicate or unexpected.
 
-    The levels are a short declared list, so each unit's missing cells come from an array difference, not a join.
+    ``units`` is the table of expected units: one without any row lacks all its cells, and the cells of a unit that is
+    not in it are unexpected. Without that table the units are those that occur. The levels are a short declared list,
+    so each unit's missing cells come from an array difference, not a join.
     """
     names = list(levels)
     cell = F.struct(*names)
@@ -155,10 +169,14 @@ def matrix_complete(rows: DataFrame, unit: str, levels: dict[str, list]) -> Data
     expected = F.array(*[F.struct(*[F.lit(v).cast(rows.schema[n].dataType).alias(n) for n, v in zip(names, combo)])
                          for combo in product(*levels.values())])
     known = reduce(lambda a, b: a & b, [F.col(n).isin(v) for n, v in levels.items()])
+    asked = counted.select(unit).distinct() if units is None else units.select(unit).distinct()
+    counted = counted.join(asked.withColumn("_asked", F.lit(True)), unit, "left")
+    known = F.coalesce(known & F.col("_asked"), F.lit(False))
     odd = counted.where((F.col("n") > 1) | ~known).select(
         unit, *names, F.when(known, "duplicate").otherwise("unexpected").alias("problem"))
     # Only declared cells are collected, so a unit's list is no longer than the declaration.
     present = counted.groupBy(unit).agg(F.collect_list(F.when(known, cell)).alias("cells"))
-    missing = present.select(unit, F.inline(F.array_except(expected, F.col("cells")))).withColumn(
+    missing = asked.join(present, unit, "left").select(unit, F.inline(F.array_except(
+        expected, F.coalesce("cells", F.array().cast(present.schema["cells"].dataType))))).withColumn(
         "problem", F.lit("missing"))
     return odd.unionByName(missing)

@@ -6,10 +6,9 @@ and the current table is a keyed maximum over the log. ``compact`` folds old bat
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,17 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.fixtures import event_time, usable_final
 from ..operators.ledger import score_forecasts
-from ..operators.matching import merge_log
+from ..operators.matching import SEASON_PAIR_LEAGUES, merge_log
 from ..operators.rating import OTHER_STEP, STEP, advance
 
 
-def read_stream(spark: SparkSession, schema, folder: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_stream(spark: SparkSession, schema, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Files of a landing folder; all that have landed form one batch unless the caller sets a limit."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process what has landed and stop; a restart with the same checkpoint continues after the last batch."""
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start()
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(
+        mode).foreachBatch(each).start()
     query.awaitTermination()
     return query
 
@@ -40,16 +44,24 @@ def append_batch(log: str) -> Callable[[DataFrame, int], None]:
 
 # --- merged schedule ------------------------------------------------------------------------------------------
 
-def merged_schedule(spark: SparkSession, log: str) -> DataFrame:
+def merged_schedule(spark: SparkSession, log: str, leagues: Sequence[str] = SEASON_PAIR_LEAGUES,
+                    observed: str | None = None) -> DataFrame:
     """Current events: later batches replace earlier ones by id and by season pairing."""
-    return merge_log(spark.read.parquet(log), "batch")
+    return merge_log(spark.read.parquet(log), "batch", leagues, observed)
 
 
-def compact(spark: SparkSession, log: str, target: str) -> None:
+def compact(spark: SparkSession, log: str, target: str, leagues: Sequence[str] = SEASON_PAIR_LEAGUES,
+            observed: str | None = None) -> None:
     """Fold the log into one batch of surviving rows in a new folder; replaced rows can never matter again."""
     rows = spark.read.parquet(log)
     last = rows.agg(F.max("batch")).first()[0]
-    merge_log(rows, "batch").write.mode("overwrite").parquet(f"{target}/batch={last}")
+    merge_log(rows, "batch", leagues, observed).write.mode("overwrite").parquet(f"{target}/batch={last}")
+
+
+def written(spark: SparkSession, folder: str) -> bool:
+    """Whether a table has any partition yet. Any other trouble with the folder is an error, never an empty table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
+    return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []) > 0
 
 
 # --- first-write ledger ---------------------------------------------------------------------------------------
@@ -59,11 +71,8 @@ def first_write(ledger: str, key: str, period: str) -> Callable[[DataFrame, int]
     def write(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c != key]
         once = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("saved_at")).alias("_r")).select(key, "_r.*")
-        try:
+        if written(batch.sparkSession, ledger):
             known = batch.sparkSession.read.parquet(ledger).where(F.col("batch") != number)
-        except AnalysisException:  # nothing written yet
-            known = None
-        if known is not None:
             seen = known.join(once.select(period).distinct(), period, "left_semi").select(key)
             once = once.join(seen, key, "left_anti")
         # Rebalancing by period gives few files per folder and still splits a busy period over tasks.
@@ -75,15 +84,19 @@ def first_write(ledger: str, key: str, period: str) -> Callable[[DataFrame, int]
 # --- lateness -------------------------------------------------------------------------------------------------
 
 def lateness(stream: DataFrame, cutoff: str, delay: str = "48 hours") -> DataFrame:
-    """Late forecasts are labelled, not dropped; the watermark bounds downstream state."""
+    """Late forecasts are labelled, not dropped; the watermark, on the time of saving, bounds downstream state."""
     late = F.col("saved_at") >= F.col(cutoff)
-    timed = stream.withColumns({"arrival": F.when(late, "late").otherwise("in_time"), "event_time": event_time(F.col(cutoff))})
+    timed = stream.withColumns({"arrival": F.when(late, "late").otherwise("in_time"), "event_time": event_time(F.col("saved_at"))})
     return timed.withWatermark("event_time", delay)
 
 
 def weekly_counts(stream: DataFrame, time: str) -> DataFrame:
-    """Monday-start tumbling weeks."""
-    timed = stream.withColumn("event_time", event_time(F.col(time))).withWatermark("event_time", "48 hours")
+    """Monday-start tumbling weeks.
+
+    No watermark: a schedule lists events months ahead, and a watermark on their start would drop every result that
+    comes after such a row. State is one row per (week, sport), so the calendar bounds it.
+    """
+    timed = stream.withColumn("event_time", event_time(F.col(time)))
     return timed.groupBy(F.window("event_time", "7 days", startTime="4 days"), "sport").agg(
         F.count(F.lit(1)).alias("games"), F.count("outcome").alias("finished"))
 
@@ -91,20 +104,27 @@ def weekly_counts(stream: DataFrame, time: str) -> DataFrame:
 # --- scores ---------------------------------------------------------------------------------------------------
 
 def rescore(forecasts: DataFrame, log: str, now) -> Callable[[DataFrame, int], None]:
-    """Score the static ledger against every batch of events and append the result."""
+    """Score the static ledger against the latest observation of every event in a batch and append the result.
+
+    Observations of one event that tie in ``observed_at`` are ordered by their whole content.
+    """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         none = spark.createDataFrame([], "forecast_id string, first_completed_at timestamp_ntz")
-        touched = forecasts.join(batch.select("game_id"), "game_id", "left_semi")
-        score_forecasts(touched, batch, none, now()).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        rest = [c for c in batch.columns if c != "game_id"]
+        order = F.struct("observed_at", F.to_json(F.struct(*rest)).alias("_content"))
+        latest = batch.groupBy("game_id").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("game_id", "_r.*")
+        touched = forecasts.join(latest.select("game_id"), "game_id", "left_semi")
+        seen = latest.select("game_id", F.col("observed_at").alias("seen_at"))
+        score_forecasts(touched, latest, none, now()).join(seen, "game_id").write.mode("overwrite").parquet(f"{log}/batch={number}")
     return write
 
 
 def current_scores(spark: SparkSession, log: str) -> DataFrame:
-    """Latest status of every forecast with its first completion time."""
+    """Status of every forecast by the latest observation, whatever its batch, with its first completion time."""
     rows = spark.read.parquet(log)
     return rows.groupBy("forecast_id").agg(
-        F.max_by(F.struct("model", "sport", "status", "outcome"), "batch").alias("s"),
+        F.max_by(F.struct("model", "sport", "status", "outcome"), F.struct("seen_at", "batch")).alias("s"),
         F.min_by("first_completed_at", F.when(F.col("first_completed_at").isNotNull(), F.col("batch"))).alias("first_completed_at")
     ).select("forecast_id", "s.*", "first_completed_at")
 

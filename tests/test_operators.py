@@ -160,6 +160,21 @@ def test_merge_log_moved_and_reused_ids(spark):
     assert sorted(r.game_id for r in matching.merge_log(log, "batch").collect()) == [2, 6, 7]
 
 
+def test_merge_log_keeps_cup_pairings_and_ignores_row_order(spark):
+    schema = ("batch int, game_id long, sport string, league string, home_key string, away_key string, start_time timestamp_ntz, "
+              "status string, seen int")
+    day = dt.datetime(2024, 8, 10, 15)
+    cup = [(1, i, "soccer", "CUP", "a", "b", day + dt.timedelta(days=i), "final", 0) for i in (1, 2)]
+    pair = [(1, 9, "soccer", "EPL", "a", "b", day, "scheduled", 1), (1, 9, "soccer", "EPL", "a", "b", day, "final", 2)]
+    last = [(1, 9, "soccer", "EPL", "a", "b", day, "postponed", 2)]
+    for rows in (cup + pair, pair[::-1] + cup):
+        got = matching.merge_log(spark.createDataFrame(rows, schema), "batch", observed="seen").collect()
+        assert sorted((r.game_id, r.status) for r in got) == [(1, "final"), (2, "final"), (9, "final")]
+    for rows in (pair + last, (pair + last)[::-1]):
+        got = matching.merge_log(spark.createDataFrame(rows, schema).repartition(3), "batch", observed="seen").collect()
+        assert [(r.game_id, r.status) for r in got] == [(9, "postponed")]
+
+
 def test_bootstrap_known_difference(spark):
     """Losses that always differ by ln 2 give that mean and a closed interval, with empty weeks counted."""
     day = dt.date(2024, 1, 1)
@@ -236,6 +251,11 @@ def test_complete_matrix(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (1, "b", 0), (1, "x", 0), (2, "a", 0), (2, "b", 0)], "unit int, c string, s int")
     got = matching.matrix_complete(rows, "unit", {"c": ["a", "b"], "s": [0]}).collect()
     assert sorted(tuple(r) for r in got) == [(1, "a", 0, "duplicate"), (1, "x", 0, "unexpected")]
+    units = spark.createDataFrame([(1,), (3,)], "unit int")
+    got = matching.matrix_complete(rows, "unit", {"c": ["a", "b"], "s": [0]}, units).collect()
+    assert sorted(tuple(r) for r in got) == [
+        (1, "a", 0, "duplicate"), (1, "x", 0, "unexpected"), (2, "a", 0, "unexpected"), (2, "b", 0, "unexpected"),
+        (3, "a", 0, "missing"), (3, "b", 0, "missing")]
 
 
 def test_stream_resumes_after_the_last_batch(spark, tmp_path):
@@ -267,6 +287,38 @@ def test_compacted_log_gives_the_same_schedule(spark, tmp_path):
     for batch, rows in enumerate([[(1, "soccer", "L", "a", "b", dt.datetime(2024, 9, 1))], [(2, "soccer", "L", "a", "b", dt.datetime(2024, 9, 5))],
                                   [(3, "baseball", "L", "a", "b", dt.datetime(2024, 9, 5))]]):
         jobs.append_batch(log)(spark.createDataFrame(rows, schema), batch)
-    jobs.compact(spark, log, packed)
-    want = sorted(r.game_id for r in jobs.merged_schedule(spark, log).collect())
-    assert want == [2, 3] == sorted(r.game_id for r in jobs.merged_schedule(spark, packed).collect())
+    jobs.compact(spark, log, packed, ["L"])
+    want = sorted(r.game_id for r in jobs.merged_schedule(spark, log, ["L"]).collect())
+    assert want == [2, 3] == sorted(r.game_id for r in jobs.merged_schedule(spark, packed, ["L"]).collect())
+
+
+def test_old_result_counts_after_a_future_fixture(spark, tmp_path):
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "cp"))
+    schema = "sport string, start_time timestamp_ntz, outcome int"
+    for row in [("s", dt.datetime(2024, 12, 2), None), ("s", dt.datetime(2024, 6, 3), 1), ("s", dt.datetime(2024, 6, 4), 0)]:
+        spark.createDataFrame([row], schema).write.mode("append").parquet(source)
+        stream = jobs.weekly_counts(jobs.read_stream(spark, schema, source), "start_time")
+        jobs.run_available(stream, checkpoint, jobs.append_batch(log), "update")
+    rows = spark.read.parquet(log)
+    assert sorted((r.batch, r.games, r.finished) for r in rows.collect()) == [(0, 1, 0), (1, 1, 1), (2, 2, 2)]
+
+
+def test_scores_follow_the_latest_observation(spark, tmp_path):
+    day = dt.datetime(2024, 6, 3)
+    forecasts = spark.createDataFrame(
+        [("f", 1, "m", "s", "a", "b", day - dt.timedelta(days=9), day, [0.6, 0.4])],
+        "forecast_id string, game_id long, model string, sport string, home_key string, away_key string, saved_at timestamp_ntz, "
+        "fixture_start timestamp_ntz, p array<double>")
+
+    def game(status, hours, score):
+        return (1, "s", "a", "b", day, status, score, score and 0, 0 if score else None, day + dt.timedelta(hours=hours))
+    schema = ("game_id long, sport string, home_key string, away_key string, start_time timestamp_ntz, status string, home_score int, "
+              "away_score int, outcome int, observed_at timestamp_ntz")
+    for n, batches in enumerate([[[game("final", 5, 2), game("scheduled", 1, None)]],
+                                 [[game("scheduled", 1, None), game("final", 5, 2)]],
+                                 [[game("final", 5, 2)], [game("scheduled", 1, None)]]]):
+        log = str(tmp_path / f"log{n}")
+        for number, rows in enumerate(batches):
+            jobs.rescore(forecasts, log, lambda: F.lit(day + dt.timedelta(days=30)).cast("timestamp_ntz"))(
+                spark.createDataFrame(rows, schema), number)
+        assert [(r.forecast_id, r.status) for r in jobs.current_scores(spark, log).collect()] == [("f", "complete")]
