@@ -34,6 +34,22 @@ def _(t):
     return graph.import_report(t.edges(), t.nodes())
 
 
+@query("import_gates", "edges all_nodes", """, source AS (SELECT pre, post, CASE WHEN pre % 11 = 2 AND post % 7 = 1 THEN 0 WHEN post % 97 = 3
+    THEN 5000000000 ELSE contacts END AS contacts FROM edges UNION ALL SELECT pre, post, NULL FROM edges WHERE post % 53 = 1),
+ listed AS (SELECT CASE WHEN id % 89 = 5 THEN -id ELSE id END AS id FROM all_nodes UNION ALL SELECT id FROM all_nodes WHERE id % 43 = 5),
+ pairs AS (SELECT pre, post, count(*) AS n FROM source GROUP BY ALL), ids AS (SELECT id, count(*) AS n FROM listed GROUP BY ALL)
+SELECT count(*) FILTER (n > 1) AS repeated_pairs, CAST(sum(n - 1) AS BIGINT) AS surplus_edges,
+  (SELECT count(*) FROM source WHERE contacts IS NULL OR contacts < 1 OR contacts > 4294967295) AS bad_contacts,
+  (SELECT count(*) FROM ids WHERE n > 1) AS repeated_ids, (SELECT count(*) FROM listed WHERE id < 0) AS bad_ids FROM pairs""")
+def _(t):
+    edges = t.edges().select("pre", "post", "contacts")
+    wrong = F.expr("CASE WHEN pre % 11 = 2 AND post % 7 = 1 THEN 0 WHEN post % 97 = 3 THEN 5000000000 ELSE contacts END")
+    source = edges.withColumn("contacts", wrong).unionByName(edges.where("post % 53 = 1").withColumn("contacts", F.lit(None).cast("long")))
+    ids = t.all_nodes().select("id")
+    listed = ids.selectExpr("CASE WHEN id % 89 = 5 THEN -id ELSE id END AS id").unionByName(ids.where("id % 43 = 5"))
+    return graph.import_gates(source, listed)
+
+
 @query("annotation_align", "all_nodes nodes", """, raw AS (SELECT id, type, CASE WHEN id % 17 = 3 THEN 'x' ELSE class END AS class,
     CASE WHEN id % 19 = 4 THEN NULL ELSE transmitter END AS transmitter FROM all_nodes WHERE id % 31 <> 9
     UNION ALL SELECT id, type, class, transmitter FROM all_nodes WHERE id % 43 = 5),

@@ -70,7 +70,9 @@ def season_rows(items: DataFrame, year: int) -> DataFrame:
     violation = first_reason([
         (F.col("reason").isNotNull(), "none"),
         (F.col("home_score").isNull() | F.col("away_score").isNull(), "score"),
-        (F.year("start_time") != year, "season_year"),
+        (F.coalesce(F.col("pk") < 1, F.lit(True)), "game_id"),
+        (F.coalesce(F.year("start_time") != year, F.lit(True)), "season_year"),
+        (F.col("home_id").isNull() | F.col("away_id").isNull(), "team_id"),
         (F.col("home_id") == F.col("away_id"), "same_team"),
         (F.col("copies") > 1, "duplicate_id"),
         (F.col("home_winner").isNull() | F.col("away_winner").isNull()

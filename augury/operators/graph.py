@@ -37,6 +37,21 @@ def import_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("*", *[facts.select(c).scalar().alias(c) for c in facts.columns])
 
 
+def import_gates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row of counts that must be 0 before an import may claim to keep every edge: directed pairs given more than
+    once (and their surplus rows), contact counts that are no whole number of 1 to 2**32 - 1, node ids that are given
+    more than once, are missing or negative."""
+    pairs = edges.groupBy("pre", "post").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(
+        (F.col("contacts") == F.floor("contacts")) & F.col("contacts").between(1, 2 ** 32 - 1), F.lit(False))).alias("bad"))
+    ids = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    edge_facts = pairs.agg(F.count_if(F.col("n") > 1).alias("repeated_pairs"),
+                           F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_edges"),
+                           F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_contacts"))
+    node_facts = ids.agg(F.count_if(F.col("n") > 1).alias("repeated_ids"),
+                         F.coalesce(F.sum(F.when(F.coalesce(F.col("id") < 0, F.lit(True)), F.col("n"))), F.lit(0)).alias("bad_ids"))
+    return edge_facts.select("*", *[node_facts.select(c).scalar().alias(c) for c in node_facts.columns])
+
+
 def retained(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are retained, with the sign of the source."""
     sign, _ = token_sign(F.col("transmitter"))

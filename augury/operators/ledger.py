@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixtures import OUTCOME_NAMES, revision
 from ..functions.probability import argmax, label_probability, log_loss, valid_vector
-from ..plans.ordered import ranked
+from ..plans.ordered import first_rows, ranked
 from .checks import first_reason
 
 
@@ -164,16 +164,15 @@ def score_forecasts(forecasts: DataFrame, games: DataFrame, previous: DataFrame,
 def cohort_freeze(scores: DataFrame, thresholds: dict[str, int]) -> DataFrame:
     """The first N completed forecasts per (model, sport), once there are N.
 
-    ``row_number <= N`` is cut to N rows per group inside every map task before the shuffle.
+    Groups are few and large, so parts of a group are cut to N rows before one task ranks the group.
     """
     done = scores.where("status = 'complete'")
-    order = Window.partitionBy("model", "sport").orderBy("first_completed_at", "fixture_start", "forecast_id")
+    order = [F.col(c) for c in ("first_completed_at", "fixture_start", "forecast_id")]
     wanted = F.lit(None)
     for sport, n in thresholds.items():
         wanted = F.when(F.col("sport") == sport, n).otherwise(wanted)
     largest = max(thresholds.values())
-    head = done.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= largest)
-    head = head.where(F.col("rank") <= wanted)
+    head = first_rows(done, ["model", "sport"], order, largest, "forecast_id").where(F.col("rank") <= wanted)
     full = F.count(F.lit(1)).over(Window.partitionBy("model", "sport")) == wanted
     return head.withColumn("_full", full).where("_full").drop("_full")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import clip_scale
-from ..plans.ordered import exact_quantiles
+from ..plans.ordered import exact_quantiles, first_rows
 
 
 def when_sum(condition: Column, value: Column) -> Column:
@@ -184,8 +184,7 @@ def mass_share(rows: DataFrame, group: str, entity: str, top: int = 10) -> DataF
     totals = net.groupBy(group).agg(
         F.sum(lost).alias("negative_mass"), F.sum(F.greatest(F.col("net"), F.lit(0.0))).alias("positive_mass"),
         F.count_if(F.col("net") < 0).alias("negative"), F.count_if(F.col("net") > 0).alias("positive"))
-    order = Window.partitionBy(group).orderBy("net", entity)
-    head = net.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    head = first_rows(net, [group], [F.col("net"), F.col(entity)], top, entity)
     worst = head.groupBy(group).agg(F.sum(lost).alias("top_mass"))
     return totals.join(worst, group).select(
         group, "negative_mass", "positive_mass", "negative", "positive",

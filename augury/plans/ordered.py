@@ -56,6 +56,16 @@ def hash_ranked(df: DataFrame, group: list[str], digest: str, tie: list[str], ra
     return _with_offsets(rows, group, "_slice", [F.col(digest), *[F.col(t) for t in tie]], {}, rank)
 
 
+def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, spread_by: str, rank: str = "rank",
+               parts: int = 64) -> DataFrame:
+    """The first ``n`` rows per group with their rank. Parts of a group are cut to ``n`` rows first, so the task that ends
+    a group reads ``parts * n`` rows at most, however large the group and however many map tasks there are."""
+    part = F.pmod(F.xxhash64(spread_by), F.lit(parts))
+    near = df.withColumn("_part", part).withColumn(rank, F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    near = near.where(F.col(rank) <= n).drop("_part", rank)
+    return near.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
+
+
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """Linearly interpolated quantiles per group; one row per (group, q).
 

@@ -21,9 +21,10 @@ SCOREBOARD_SCHEMA = """events array<struct<date: string, competitions: array<str
   competitors: array<struct<homeAway: string, score: string, team: struct<displayName: string, name: string, logo: string>>>>>>>"""
 
 _SIDE = "struct<score: string, isWinner: boolean, team: struct<id: long, name: string>>"
-SCHEDULE_SCHEMA = f"""dates array<struct<games: array<struct<gamePk: long, gameType: string, gameDate: string, resumeDate: string,
+_GAME = f"""struct<gamePk: long, gameType: string, gameDate: string, resumeDate: string,
   status: struct<abstractGameState: string, detailedState: string>, teams: struct<home: {_SIDE}, away: {_SIDE}>,
-  venue: struct<name: string>>>>>"""
+  venue: struct<name: string>>"""
+SCHEDULE_SCHEMA = f"dates array<struct<games: array<{_GAME}>>>"
 
 ODDS_FIELDS = ["sportsbook", "market", "price_format", "home_key", "away_key", "home_price", "away_price", "draw_price",
                "quote_timing", "provider_source_row_id", "start_time", "date", "timezone", "game_id", "game_number", "quote_time"]
@@ -40,12 +41,25 @@ def _int(column: Column) -> Column:
     return column.try_cast("int")
 
 
+def _by_own_header(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns of delimited files by name, each file by its own first line; a column that a file lacks is null."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("at")).where(F.trim("value") != "")
+    # the first line is in the block at 0, and row numbers rise within a block
+    top = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("top"))
+    names = F.transform(F.split(F.regexp_replace("top", "^\ufeff", ""), ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    headers = top.withColumn("names", names)
+    width = headers.agg(F.max(F.size("names"))).first()[0] or 1
+    fields = F.from_csv("value", ", ".join(f"f{i} string" for i in range(width)))
+    rows = lines.join(headers, "file").where("value <> top").withColumn("r", fields).withColumn(
+        "cells", F.array(*[F.col(f"r.f{i}") for i in range(width)]))
+    return rows.select(*[F.get("cells", (F.array_position("names", c) - 1).cast("int")).alias(c) for c in columns])
+
+
 def results_csv(spark: SparkSession, path: str, league: str = "EPL") -> DataFrame:
-    """Delimited soccer results. Rows without a date or a team are skipped; local London times become UTC."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    have = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    rows = raw.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c)
-                        for c in RESULT_COLUMNS])
+    """Delimited soccer results, seasons with different columns included. Rows without a date or a team are skipped;
+    local London times become UTC."""
+    rows = _by_own_header(spark, path, RESULT_COLUMNS)
     day = F.try_to_timestamp(F.trim("Date"), F.lit("dd/MM/yyyy")).cast("date")
     clock = F.coalesce(_blank_to_null(F.col("Time")), F.lit(DEFAULT_KICKOFF))
     clock = F.when(clock.rlike(r"^([01]?\d|2[0-3]):[0-5]?\d$"), clock).otherwise(DEFAULT_KICKOFF)
@@ -137,6 +151,25 @@ def schedule_json(spark: SparkSession, path: str, league: str = "MLB", multi_lin
         F.coalesce("venue.name", F.lit("")).alias("venue"))
 
 
+def season_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every game entry of schedule documents with the fields that the strict season rules ask for.
+
+    Any filled field with "resume" in its name marks a resumed game; a time without an offset counts as no time.
+    """
+    documents = _documents(spark, path, "dates array<struct<games: array<string>>>", multi_line)
+    games = documents.select(F.explode("dates.games").alias("games")).select(F.explode("games").alias("text"))
+    read = games.select(F.from_json("text", _GAME).alias("g"), F.from_json("text", "map<string, string>").alias("all"))
+    marks = F.map_filter("all", lambda k, v: F.lower(k).contains("resume") & ~F.coalesce(v, F.lit("")).isin("", "false", "0", "{}", "[]"))
+    zoned = F.when(F.col("g.gameDate").rlike(r"(?:Z|[+\-]\d\d:?\d\d)$"), utc_second(F.col("g.gameDate")))
+    sides = [F.col(f"g.teams.{s}.{f}").alias(f"{s}_{n}") for s in ("home", "away")
+             for f, n in (("team.id", "id"), ("team.name", "name"), ("isWinner", "winner"))]
+    scores = [_int(F.col(f"g.teams.{s}.score")).alias(f"{s}_score") for s in ("home", "away")]
+    return read.select(
+        F.col("g.gamePk").alias("pk"), F.col("g.gameType").alias("game_type"), F.col("g.status.abstractGameState").alias("abstract_state"),
+        F.col("g.status.detailedState").alias("detailed_state"), F.get(F.map_values(marks), 0).alias("resume_marker"),
+        zoned.alias("start_time"), *scores, *sides)
+
+
 def odds_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Price records from a list or a {records, source} object, with the file they came from."""
     rows = _documents(spark, path, ODDS_SCHEMA, multi_line).withColumn("file", F.col("_metadata.file_path"))

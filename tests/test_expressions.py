@@ -99,6 +99,34 @@ def test_results_csv_with_mark_bad_bytes_and_missing_columns(spark, tmp_path):
     assert rows["a"].status == "scheduled" and rows["a"].home_score is None
 
 
+def test_results_csv_reads_every_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Time,HomeTeam,AwayTeam,FTR,FTHG,FTAG\n13/07/2024,12:30,Leeds,Wolves,H,2,1\n")
+    (tmp_path / "b.csv").write_text('\n"Date",AwayTeam,HomeTeam,FTR,FTAG,FTHG,Note\r\n13/07/2001,"Delta, FC",Gamma,A,3,0,x,extra\r\n')
+    (tmp_path / "c.csv").write_text("")
+    rows = {r.home: r for r in ingest.results_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"Leeds", "Gamma"}
+    assert rows["Leeds"].start_time == dt.datetime(2024, 7, 13, 11, 30)
+    old = rows["Gamma"]
+    assert (old.away, old.home_score, old.away_score, old.outcome) == ("Delta, FC", 0, 3, 2)
+    assert old.start_time == dt.datetime(2001, 7, 13, 14, 0)
+
+
+def test_season_items_need_an_offset_and_see_any_resume_mark(spark, tmp_path):
+    import json
+    side = {"score": 2, "isWinner": True, "team": {"id": 1, "name": "A"}}
+    other = {"score": 1, "isWinner": False, "team": {"id": 2, "name": "B"}}
+
+    def game(pk, at, **more):
+        return {"gamePk": pk, "gameType": "R", "gameDate": at, "teams": {"home": side, "away": other},
+                "status": {"abstractGameState": "Final", "detailedState": "Final"}, **more}
+    games = [game(1, "2024-05-01T01:00:00Z"), game(2, "2024-05-01T01:00:00"), game(3, "2024-05-01T01:00:00Z", resumedFrom="x"),
+             game(4, "2024-05-01T01:00:00Z", resumeDate=""), game(None, "2024-05-01T01:00:00Z")]
+    (tmp_path / "d.json").write_text(json.dumps({"dates": [{"games": games}, {"games": []}, {}]}, indent=1))
+    rows = checks.season_rows(ingest.season_items(spark, str(tmp_path / "d.json")), 2024).collect()
+    assert {r.pk: (r.reason, r.violation) for r in rows} == {
+        1: (None, None), 2: (None, "season_year"), 3: ("resumed_or_suspended", None), 4: (None, None), None: (None, "game_id")}
+
+
 def test_schedule_json_resumed_and_repeated(spark, tmp_path):
     def game(pk, hour, **more):
         return {"gamePk": pk, "gameDate": f"2024-05-01T{hour:02d}:00:00Z", "status": {"abstractGameState": "Final", "detailedState": "Final"},
