@@ -113,7 +113,7 @@ def _(t):
     CASE WHEN game_id % 23 = 0 THEN game_id % 30 + 1 ELSE game_id % 31 + 40 END AS away_id, home_score > away_score AS home_winner,
     CASE WHEN game_id % 29 <> 0 THEN away_score > home_score END AS away_winner FROM games WHERE sport = 'baseball'),
  judged AS (SELECT *, CASE WHEN pk IN (SELECT pk FROM items WHERE marked) THEN 'resumed_or_suspended' WHEN game_type <> 'R' THEN 'nonregular'
-    WHEN contains(status, 'cancel') THEN 'unplayed' WHEN status <> 'final' THEN 'nonfinal' WHEN home_score = away_score THEN 'tie' END AS reason
+    WHEN contains(status, 'postpon') OR contains(status, 'cancel') THEN 'unplayed' WHEN status <> 'final' THEN 'nonfinal' WHEN home_score = away_score THEN 'tie' END AS reason
   FROM items)
 SELECT pk, home_id, away_id, CAST(start_time AS VARCHAR) AS start_time, reason, CASE WHEN reason IS NOT NULL THEN NULL
     WHEN home_score IS NULL OR away_score IS NULL THEN 'score' WHEN start_time IS NULL OR year(start_time) <> 1996 THEN 'season_year'
