@@ -167,7 +167,7 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out
     text, row = col(text_col), fresh(names, "_row")
     found, entity = fresh(names, "_entities"), F.col("entity")
     hits = saved(docs.where(text.rlike(ANY)).withColumn(found, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(
-        row, F.xxhash64(text)), "entities")
+        row, F.unhex(F.md5(text))), "entities")
     clean = docs.where(text.isNull() | ~text.rlike(ANY)).select(
         *map(col, names), F.lit(0).alias(count_out), F.array().cast("array<string>").alias(kinds_out))
     listed = hits.select(F.explode(found).alias("entity")).distinct()
@@ -177,7 +177,7 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out
     parts = F.array_sort(F.collect_list(F.struct("at", F.concat("before", "new").alias("part"))))
     mapped = units.join(new, ["unit", "value"]).groupBy("entity", "kind").agg(parts.alias("parts")).select(
         "entity", "kind", F.array_join(F.col("parts.part"), "").alias("replacement"))
-    placed = hits.select(row, text.alias("_source"), found).dropDuplicates([row, "_source"]).select(
+    placed = hits.select(row, found).dropDuplicates([row]).select(
         row, F.posexplode(found).alias("at", "entity")).join(mapped, "entity", "left")
     lists = placed.groupBy(row).agg(
         F.array_sort(F.collect_list(F.struct("at", F.coalesce("replacement", "entity").alias("replacement")))).alias("_new"),
