@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: seeds, CGK walks with bit sampling, exact edit distance."""
+"""Benchmark passages in documents: whole pieces on near diagonals (exact filter), exact edit distance."""
 
 from __future__ import annotations
 
@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, mix
+from .common import col, fresh
 
-GRAM = 12  # bytes of a seed
-SEEDS = 4  # seeds that a window needs on neighbouring diagonals
-TABLES, SAMPLES = 128, 3  # bit-sampling tables and sampled steps in each
+LONGEST = 8  # characters of a piece at most
+SPARE = 4  # pieces that should survive all edits, where the item is long enough
+COUNTED = 5  # characters of the grams counted in a place before its distance is taken
 BITS = 22
 CHUNK, SLICE = 8_000_000, 1_000_000
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: str | None) -> str:
@@ -25,14 +25,25 @@ def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at every position."""
-    if len(data) < GRAM:
-        return np.zeros(0, np.uint64)
-    two = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << np.uint16(8))
-    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
-    eight = four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
-    return (eight[: len(data) - GRAM + 1] * A) ^ (four[8: 8 + len(data) - GRAM + 1].astype(np.uint64) * B)
+def codes(text: str) -> np.ndarray:
+    """Characters as numbers."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` characters at every position."""
+    n = max(0, len(data) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size if n else 0):
+        out += data[i: i + n]
+        out *= A
+    return out
+
+
+def piece_size(length: int, edits: int) -> int:
+    """Largest piece of which SPARE at least stay whole under ``edits`` edits; failing that, one at least."""
+    sizes = range(LONGEST, 0, -1)
+    return next((s for s in sizes if s > 3 and length // s - edits >= SPARE), None) or next(s for s in sizes if length // s > edits)
 
 
 def edit_distance(item: str, text: str, most: int) -> int:
@@ -58,108 +69,85 @@ def edit_distance(item: str, text: str, most: int) -> int:
 
 
 class Items:
-    """Benchmark items ready for search: seeds, walks and bucket keys."""
+    """Benchmark items ready for search: every item is cut into pieces of equal size, kept as hashes by that size."""
 
-    def __init__(self, rows: list[tuple[int, str]], max_edit: float, seed: int = 11):
+    def __init__(self, rows: list[tuple[int, str]], max_edit: float):
+        if not 0 <= max_edit < 1:
+            raise ValueError("max_edit is a share of an item's characters: 0 or more, less than 1")
         known = [(i, plain(t)) for i, t in rows]
         known = [(i, t) for i, t in known if t]
         self.ids, self.texts = [i for i, _ in known], [t for _, t in known]
-        self.bytes = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([int(max_edit * len(t)) for t in self.texts], np.int64)
-        hashes = [gram_hashes(b) for b in self.bytes]
-        gram = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        offset = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        sizes = np.array([piece_size(n, k) for n, k in zip(self.lengths.tolist(), self.edits.tolist())], np.int64)
+        #: Pieces that must be whole: an edit changes one piece at most.
+        self.least = self.lengths // np.maximum(sizes, 1) - self.edits
+        self.grams = [np.unique(gram_hashes(codes(t), COUNTED)) for t in self.texts]
+        self.groups = [self.pieces(np.flatnonzero(sizes == s), int(s)) for s in np.unique(sizes)]
+
+    def pieces(self, own: np.ndarray, size: int) -> tuple:
+        """(size, bitmap, sorted different hashes, start and number of their entries, items, offsets) of the items ``own``."""
+        hashes = [gram_hashes(codes(self.texts[i]), size)[::size] for i in own]
+        gram, item = np.concatenate(hashes), np.repeat(own, [len(h) for h in hashes])
+        offset = np.concatenate([np.arange(len(h)) for h in hashes]) * size
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.offset = gram[order], item[order].astype(np.int64), offset[order].astype(np.int64)
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[mix(self.gram) >> np.uint64(64 - BITS)] = True
-        self.shortest = GRAM + SEEDS - 1
-        rng = np.random.default_rng(seed)
-        steps = int(2 * self.lengths.max()) if len(self.lengths) else 0
-        self.coin = rng.integers(0, 2, (steps, 256), dtype=np.int8)
-        self.sampled = rng.random((TABLES, SAMPLES))
-        own = [self.buckets(b[None, :], np.array([len(b)])) for b in self.bytes]
-        self.keys = np.concatenate(own) if own else np.zeros((0, TABLES), np.uint64)
-
-    def buckets(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Bucket keys of equally padded byte strings: a CGK walk repeats or goes on at every step by a coin that depends
-        on step and byte; each table keys the bytes seen at its sampled steps (of 2 * length)."""
-        n = len(windows)
-        at = np.zeros(n, np.int64)
-        picks = (self.sampled[None] * (2 * lengths)[:, None, None]).astype(np.int64)
-        last = int(picks.max()) + 1 if n else 0
-        walk = np.zeros((n, last), np.uint8)
-        row, width = np.arange(n), windows.shape[1] - 1
-        for step in range(last):
-            here = windows[row, np.minimum(at, width)]
-            here = np.where(at < lengths, here, 0)
-            walk[:, step] = here
-            at += self.coin[step][here]
-        key = np.repeat((np.arange(TABLES, dtype=np.uint64) * A)[None], n, 0) + lengths[:, None].astype(np.uint64) * B
-        for k in range(SAMPLES):
-            key = mix(key + walk[row[:, None], picks[:, :, k]].astype(np.uint64) + np.uint64(1))
-        return key
-
-    def seeds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, diagonal, offset in the item) of every seed in ``data``."""
-        hashes = gram_hashes(data)
-        at = np.flatnonzero(self.seen[mix(hashes) >> np.uint64(64 - BITS)])
-        lo, hi = np.searchsorted(self.gram, hashes[at], "left"), np.searchsorted(self.gram, hashes[at], "right")
-        count = hi - lo
-        entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item, offset = self.item[entry], self.offset[entry]
-        return item, np.repeat(at, count) - offset, offset
-
-    def windows(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) of windows worth a walk: enough seeds of an item on diagonals that its edits can reach.
-
-        Starts come from the diagonal of the item's first seed and from the one with most seeds.
+        seen = np.zeros(1 << BITS, bool)
+        seen[gram >> np.uint64(64 - BITS)] = True
+        known, first, many = np.unique(gram[order], return_index=True, return_counts=True)
+        return size, seen, known, first, many, item[order].astype(np.int64), offset[order].astype(np.int64)
+
+    def windows(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to): every part of the texts that can hold an item within its edits.
+
+        Whole pieces of a passage lie on diagonals that differ by its edits at most, so as many hits as pieces must be
+        whole, that close together, miss no passage.
         """
-        item, diagonal, offset = self.seeds(data)
-        doc = np.searchsorted(ends, diagonal + offset, "right") - 1
-        fine = diagonal + offset + GRAM <= ends[doc + 1]
-        item, diagonal, offset, doc = item[fine], diagonal[fine], offset[fine], doc[fine]
-        order = np.lexsort((diagonal, item, doc))
-        item, diagonal, offset, doc = item[order], diagonal[order], offset[order], doc[order]
-        if not len(item):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(2, self.edits[item[1:]]))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(item)))
-        cluster = np.cumsum(new) - 1
-        first = np.lexsort((offset, cluster))[start]
-        same = np.ones(len(item), bool)
-        same[1:] = new[1:] | (diagonal[1:] != diagonal[:-1])
-        line = np.flatnonzero(same)
-        weight = np.diff(np.append(line, len(item)))
-        best = line[np.lexsort((-weight, cluster[line]))]
-        best = best[np.searchsorted(cluster[best], np.arange(len(start)))]
-        good = size >= SEEDS
-        both = np.concatenate([first[good], best[good]])
-        found = np.unique(np.stack([item[both], np.maximum(diagonal[both], ends[doc[both]])], 1), axis=0)
-        return found[:, 0], found[:, 1]
-
-    def matches(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, distance) of confirmed passages; texts lie end to end in ``data``."""
-        item, start = self.windows(data, ends)
-        doc = np.searchsorted(ends, start, "right") - 1
-        for a in range(0, len(item), 2000):
-            own, at = item[a: a + 2000], start[a: a + 2000]
-            width = int(self.lengths[own].max())
-            place = at[:, None] + np.arange(width)
-            text = data[np.minimum(place, len(data) - 1)]
-            text[place >= ends[doc[a: a + 2000] + 1][:, None]] = 0
-            near = (self.buckets(text, self.lengths[own]) == self.keys[own]).any(axis=1)
-            for i in np.flatnonzero(near):
-                d, most = doc[a + i], int(self.edits[own[i]])
-                slack = 4 * most + 4
-                lo, hi = max(ends[d], at[i] - slack), min(ends[d + 1], at[i] + self.lengths[own[i]] + slack)
-                distance = edit_distance(self.texts[own[i]], data[lo:hi].tobytes().decode("utf-8", "ignore"), most)
-                if distance <= most:
-                    yield int(d), int(own[i]), distance
+        for size, seen, known, first, many, items, offsets in self.groups:
+            hashes = gram_hashes(data, size)
+            at = np.flatnonzero(seen[hashes >> np.uint64(64 - BITS)])
+            place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+            fine = known[place] == hashes[at]
+            at, place = at[fine], place[fine]
+            doc = np.searchsorted(ends, at, "right") - 1
+            fine = at + size <= ends[doc + 1]
+            at, doc, place = at[fine], doc[fine], place[fine]
+            lo, count = first[place], many[place]
+            entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            item, doc = items[entry], np.repeat(doc, count)
+            diagonal = np.repeat(at, count) - offsets[entry]
+            order = np.argsort(item * (2 * len(data) + 2 * int(self.lengths.max())) + diagonal)
+            item, doc, diagonal = item[order], doc[order], diagonal[order]
+            last = np.arange(len(item)) + self.least[item] - 1
+            there = np.minimum(last, len(item) - 1)
+            good = (last < len(item)) & (item[there] == item) & (diagonal[there] - diagonal <= self.edits[item])
+            item, doc, diagonal = item[good], doc[good], diagonal[good]
+            if not len(item):
+                continue
+            start = np.maximum(diagonal - self.edits[item], ends[doc])
+            stop = np.minimum(diagonal + self.lengths[item] + self.edits[item], ends[doc + 1])
+            order = np.lexsort((start, doc, item))
+            item, doc, start, stop = item[order], doc[order], start[order], stop[order]
+            # parts that overlap are read once; stops grow with the starts of an item and text
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+            head = np.flatnonzero(new)
+            final = np.append(head[1:], len(item)) - 1
+            yield from zip(doc[head].tolist(), item[head].tolist(), start[head].tolist(), stop[final].tolist())
+
+    def matches(self, text: str, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, distance) of confirmed passages; texts lie end to end in ``text``."""
+        data = codes(text)
+        counted = gram_hashes(data, COUNTED)
+        for doc, item, start, stop in self.windows(data, ends):
+            most, grams = int(self.edits[item]), self.grams[item]
+            kept = int(self.lengths[item]) - COUNTED + 1 - COUNTED * most  # grams that no edit touches, at least
+            if kept > 0:
+                own = counted[start: max(start, stop - COUNTED + 1)]
+                if np.count_nonzero(grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own) < kept:
+                    continue
+            distance = edit_distance(self.texts[item], text[start:stop], most)
+            if distance <= most:
+                yield doc, item, distance
 
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame, max_edit: float = 0.15, text_col: str = "text", id_col: str = "item_id",
@@ -170,8 +158,10 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, max_edit: float = 0.15, t
     the item's characters of it by edit distance. Items travel to the tasks in parts of about ``part_chars``
     characters; a larger benchmark takes more passes. Documents do not move.
 
-    Null, empty or blank texts contain nothing, and null, empty or blank items are in nothing. Items shorter than 15 bytes
-    are found where they occur unchanged only. Repeated items are reported once each; the array is in item order. All
+    No passage is missed: an item of n pieces with k edits keeps n - k of them whole, and every place with so many whole
+    pieces gets the exact distance.
+
+    Null, empty or blank texts contain nothing, and null, empty or blank items are in nothing. Repeated items are reported once each; the array is in item order. All
     columns ``keep`` (default: all) stay.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
@@ -197,23 +187,18 @@ def _scan(docs: DataFrame, shared, scanned: str, name: str, kind: str) -> DataFr
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
-        short = [(i, t) for i, t in enumerate(items.texts) if len(t.encode()) < items.shortest]
         long_ = int(2 * items.lengths.max() + 8) if len(items.lengths) else 0
         for batch in batches:
             found: list[dict] = [{} for _ in range(batch.num_rows)]
             texts = [plain(t) for t in batch.column(at).to_pylist()]
             pieces, size = [], 0
             for row, text in enumerate(texts):
-                for i, t in short:
-                    if t in text:
-                        found[row][i] = 0
-                data = text.encode()
-                for c in range(0, max(1, len(data)), CHUNK):
-                    pieces.append((row, data[c: c + CHUNK + long_]))
+                for c in range(0, max(1, len(text)), CHUNK):
+                    pieces.append((row, text[c: c + CHUNK + long_]))
                     size += len(pieces[-1][1])
                 if size > SLICE or row == len(texts) - 1:
                     ends = np.concatenate([[0], np.cumsum([len(p) for _, p in pieces])]).astype(np.int64)
-                    whole = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+                    whole = "".join(p for _, p in pieces)
                     for piece, item, distance in items.matches(whole, ends) if len(whole) else ():
                         own = found[pieces[piece][0]]
                         own[item] = min(distance, own.get(item, distance))
