@@ -80,27 +80,36 @@ def part_of(words: list[str], digest: Column):
     return chosen
 
 
+#: From this attempt on the format counts as crowded: surrogates get longer with every attempt.
+CROWDED = 6
+
+
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """Replacement of one unit by its kind; depends on the key, the kind, the value and the attempt alone."""
     digest = stream(key, kind, value, attempt)
+    further = stream(key, F.concat(kind, F.lit("+")), value, attempt)
+    room = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(attempt - (CROWDED - 1), F.lit(60))))
+    tail = F.when(attempt >= CROWDED, F.array_join(F.transform(room, lambda i: (number(further, i) % 10).cast("string")), "")).otherwise("")
+    local = F.concat_ws(":", F.lit("fd00"), *[F.substr(further, F.lit(4 * i + 1), F.lit(4)) for i in range(7)])
     octets = F.concat_ws(".", *[(number(digest, i) % 254 + 1).cast("string") for i in range(4)])
     shaped = same_format(value, digest, F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1)
                          .when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .\-(])", 0))).otherwise(0))
     mail = F.concat(same_format(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), digest, F.lit(0)), F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    body = F.substr(shaped, F.lit(1), F.length(shaped) - 1)
+    body = F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), tail)
     check = (10 - luhn(F.concat(digits(body), F.lit("0")))) % 10
-    card = F.when(luhn(digits(value)) == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
-    out = F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", card)
+    card = F.when(luhn(digits(value)) == 0, F.concat(body, check.cast("string"))).otherwise(F.concat(shaped, tail))
+    out = F.when(kind == "ip", F.when(attempt >= CROWDED, local).otherwise(octets)).when(kind == "email", F.concat(tail, mail)).when(kind == "card", card)
     more = F.transform(F.sequence(F.lit(1), F.least(F.lit(3) + attempt, F.lit(60))), lambda i: i)
     for script, lists in NAMES.items():
         for gender in "mf":
-            given = F.concat(pick(lists[gender], number(digest, 0)), F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.concat(
-                pick(lists["syllables"], number(digest, 1)), pick(lists["syllables"], number(digest, 2)))))).otherwise(""))
+            second = F.transform(F.sequence(F.lit(1), F.least(F.lit(1) + attempt, F.lit(60))), part_of(lists["syllables"], digest))
+            given = F.concat(pick(lists[gender], number(digest, 0)), F.when(attempt > 0, F.concat(
+                F.lit("-"), F.initcap(F.array_join(second, "")))).otherwise(""))
             out = out.when(kind == f"given_{gender}_{script}", given)
         syllables = F.transform(more, part_of(lists["syllables"], digest))
         out = out.when(kind == f"family_{script}", F.initcap(F.array_join(syllables, "")))
-    return out.otherwise(shaped)
+    return out.otherwise(F.concat(shaped, tail))
 
 
 def kind_of(entity: Column) -> Column:
@@ -133,7 +142,8 @@ def units_of(entity: Column, kind: Column) -> Column:
 
 def distinct_surrogates(units: DataFrame, key: str, most_attempts: int = 40) -> DataFrame:
     """(unit, value, new) for distinct (unit, value): different values of a kind get different surrogates, and none equals
-    a value of that kind that occurs. Those that collide (all but the smallest value) try again with another attempt."""
+    a value of that kind that occurs. Those that collide (all but the smallest value) try again with another attempt;
+    names grow with it, and so do fixed formats once CROWDED attempts failed, so there is room for every value."""
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = units.select("unit", "value").distinct().repartition(tasks, "unit", "value")  # few bytes, much work a row
     current = saved(known.withColumn("attempt", F.lit(0)).withColumn(
@@ -150,7 +160,7 @@ def distinct_surrogates(units: DataFrame, key: str, most_attempts: int = 40) ->
         again = again.join(clash.select("unit", "new", F.lit(True).alias("_hit")), ["unit", "new"], "left").select(
             "unit", "value", F.when(F.col("_hit") & F.col("_again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
         current = saved(again.withColumn("new", surrogate(key, F.col("unit"), F.col("value"), F.col("attempt"))), "surrogates")
-    raise RuntimeError("no distinct surrogates: a kind has more values than its format allows")
+    raise RuntimeError("no distinct surrogates in the attempts allowed")
 
 
 def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out: str = "n_replaced", kinds_out: str = "kinds") -> DataFrame:
