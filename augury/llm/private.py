@@ -10,15 +10,18 @@ from .common import col, fresh, saved
 #: Kinds of entities and their patterns, first match wins (fixed values).
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κυρία"
+HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
-    "secret": r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9_+/\-]{8,}",
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:(?:[_.\-]|(?<=[a-z])(?=[A-Z0-9]))[A-Za-z0-9_.\-]{1,24})?[\"']?[ \t]{0,3}[=:]>?[ \t]{0,3}"
+              r"(?:[\"'][^\"'\s]{8,}|[\"']?[A-Za-z0-9_+/\-]{8,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,8})",
+    "email": r"[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"\b(?:[3-6][0-9]{3}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{13})\b",
+    "card": r"\b(?:[2-6][0-9]{3}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ \-]?)[0-9]{6}\2[0-9]{5})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}\b|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b",
+    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}\b|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}\b|\b[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}\b",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,40}}[0-9])(?:(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|::(?:{HEX}:){{0,6}}{HEX}))(?![0-9A-Za-z:])",
     "person": rf"\b(?:{MALE}|{FEMALE})\b\.?[  ]\p{{Lu}}\p{{Ll}}{{1,30}}(?:[  ]\p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -50,13 +53,15 @@ def stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 
 
 def same_format(value: Column, digest: Column, keep: Column) -> Column:
-    """Letters become letters of the same case, digits digits, within hex values hex digits; the first ``keep`` stay."""
-    hexadecimal = value.rlike("^[0-9a-f]{8,}$")
+    """Letters become letters of the same case, digits digits, within hex values hex digits; the first ``keep`` stay.
+    Letters beyond a to z become letters of a to z."""
+    hexadecimal = value.rlike("^[0-9a-f]{8,}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$")
     def mapped(i: Column) -> Column:
         own, n = F.substr(value, i + 1, F.lit(1)), number(digest, i)
         letter = lambda first, many: F.char(F.lit(ord(first)) + n % many)
-        return (F.when(i < keep, own).when(own.rlike("[0-9]"), letter("0", 10)).when(hexadecimal, letter("a", 6))
-                .when(own.rlike("[a-z]"), letter("a", 26)).when(own.rlike("[A-Z]"), letter("A", 26)).otherwise(own))
+        return (F.when(i < keep, own).when(own.rlike("[0-9]"), letter("0", 10)).when(hexadecimal & own.rlike("[a-f]"), letter("a", 6))
+                .when(hexadecimal & own.rlike("[A-F]"), letter("A", 6)).when(own.rlike("[a-z]"), letter("a", 26)).when(own.rlike("[A-Z]"), letter("A", 26))
+                .when(own.rlike(r"\p{Lu}"), letter("A", 26)).when(own.rlike(r"\p{L}"), letter("a", 26)).when(own.rlike(r"\p{N}"), letter("0", 10)).otherwise(own))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), mapped), "")
 
 
@@ -99,7 +104,8 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     body = F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), tail)
     check = (10 - luhn(F.concat(digits(body), F.lit("0")))) % 10
     card = F.when(luhn(digits(value)) == 0, F.concat(body, check.cast("string"))).otherwise(F.concat(shaped, tail))
-    out = F.when(kind == "ip", F.when(attempt >= CROWDED, local).otherwise(octets)).when(kind == "email", F.concat(tail, mail)).when(kind == "card", card)
+    out = F.when(kind == "ip", F.when(attempt >= CROWDED, local).otherwise(octets)).when(
+        (kind == "ipv6") & (attempt >= CROWDED), local).when(kind == "email", F.concat(tail, mail)).when(kind == "card", card)
     more = F.transform(F.sequence(F.lit(1), F.least(F.lit(3) + attempt, F.lit(60))), lambda i: i)
     for script, lists in NAMES.items():
         for gender in "mf":
@@ -125,7 +131,7 @@ def kind_of(entity: Column) -> Column:
 
 def units_of(entity: Column, kind: Column) -> Column:
     """Array of (unit, value, before): the parts that are replaced, and the text kept in front of each."""
-    lead = F.regexp_extract(entity, r"^[A-Za-z_\-]+[ \t]*[=:][ \t]*[\"']?", 0)
+    lead = F.regexp_extract(entity, r"^[A-Za-z0-9_.\-]+[\"']?[ \t]*[=:]>?[ \t]*[\"']?", 0)
     title = F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE})\.?[  ]", 0)
     name = F.substr(entity, F.length(title) + 1)
     gender = F.when(title.rlike(rf"^(?:{FEMALE})\b"), "f").otherwise("m")
