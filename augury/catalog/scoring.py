@@ -232,7 +232,8 @@ def _(t):
     return rounded(out, ["difference"]).drop("start_time")
 
 
-REPS, SEED = 400, 20260910
+#: Replicates as in the reference: paired calendar weeks, and ISO weeks.
+REPS, ISO_REPS, SEED = 2000, 10000, 20260910
 
 
 def _draws(blocks, by, totals, reps, seed, alpha=0.025):
@@ -283,7 +284,7 @@ _BIN = f""", entries AS (SELECT lang, day, CASE WHEN (p >= 0.5) = (y = 1) THEN 1
 _TOTALS = ["correct", "vs_uniform", "vs_rival"]
 
 
-@query("iso_week_bootstrap", "binary_rows", f"""{_BIN}, {_draws("blocks", ["lang"], _TOTALS, REPS, SEED)}
+@query("iso_week_bootstrap", "binary_rows", f"""{_BIN}, {_draws("blocks", ["lang"], _TOTALS, ISO_REPS, SEED)}
 SELECT lang, CAST(sum(n) AS BIGINT) AS rows, count(*) AS weeks, {", ".join(f"{r6(f'sum({c}) / sum(n)')} AS {c}_mean, "
   f"{r6(f'any_value({c}_low)')} AS {c}_low, {r6(f'any_value({c}_high)')} AS {c}_high" for c in _TOTALS)},
   any_value(correct_low) > 0.5 AND any_value(vs_uniform_high) < 0 AND any_value(vs_rival_high) < 0 AS goal_passed
@@ -295,7 +296,7 @@ def _(t):
         "lang", "day", ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double").alias("correct"),
         (loss["p"] - loss["uniform"]).alias("vs_uniform"), (loss["p"] - loss["rival"]).alias("vs_rival"))
     blocks = resample.week_blocks(entries, ["lang"], "day", _TOTALS, keep_empty=False)
-    out = resample.bootstrap(blocks, ["lang"], _TOTALS, REPS, SEED).drop("empty_weeks")
+    out = resample.bootstrap(blocks, ["lang"], _TOTALS, ISO_REPS, SEED).drop("empty_weeks")
     goal = (F.col("correct_low") > 0.5) & (F.col("vs_uniform_high") < 0) & (F.col("vs_rival_high") < 0)
     out = out.withColumn("goal_passed", goal)
     return rounded(out, [f"{c}_{s}" for c in _TOTALS for s in ("mean", "low", "high")])
@@ -313,7 +314,7 @@ _ARMS = f""", arms AS (SELECT sport, game_id, max(start_time) AS start_time, avg
 _ARM_TOTALS = ["vs_twin", "control_vs_twin"]
 
 
-@query("arm_compare", "forecasts", f"""{FIRST}{_ARMS}, {_draws("blocks", ["sport"], _ARM_TOTALS, REPS, SEED)}
+@query("arm_compare", "forecasts", f"""{FIRST}{_ARMS}, {_draws("blocks", ["sport"], _ARM_TOTALS, ISO_REPS, SEED)}
 SELECT sport, CAST(sum(n) AS BIGINT) AS rows, count(*) AS weeks, {", ".join(f"{r6(f'sum({c}) / sum(n)')} AS {c}_mean, "
   f"{r6(f'any_value({c}_low)')} AS {c}_low, {r6(f'any_value({c}_high)')} AS {c}_high" for c in _ARM_TOTALS)},
   any_value(vs_twin_high) < 0 AND any_value(control_vs_twin_high) >= 0 AS contributes
@@ -323,7 +324,7 @@ def _(t):
         "sport", "start_time", (F.col("m0") - F.col("m1")).alias("vs_twin"),
         (F.col("m2") - F.col("m1")).alias("control_vs_twin"))
     blocks = resample.week_blocks(entries, ["sport"], "start_time", _ARM_TOTALS, keep_empty=False)
-    out = resample.bootstrap(blocks, ["sport"], _ARM_TOTALS, REPS, SEED).drop("empty_weeks")
+    out = resample.bootstrap(blocks, ["sport"], _ARM_TOTALS, ISO_REPS, SEED).drop("empty_weeks")
     out = out.withColumn("contributes", (F.col("vs_twin_high") < 0) & (F.col("control_vs_twin_high") >= 0))
     return rounded(out, [f"{c}_{s}" for c in _ARM_TOTALS for s in ("mean", "low", "high")])
 
