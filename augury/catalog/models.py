@@ -34,7 +34,7 @@ def _(t):
     rows = _features(t)
     day = F.col("start_time").cast("date")
     return models.quality_interval(rows, [f"home_{c}" for c in SIDES], [f"away_{c}" for c in SIDES], day,
-                                   (F.col("label") == 0).cast("int"), 0.1, 10, 20260913)
+                                   (F.col("label") == 0).cast("int"), 0.1, 100, 20260913)
 
 
 @query("readout_fit")
