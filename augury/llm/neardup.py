@@ -315,8 +315,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 64, matches:
 
     Documents with one shingle set are one class. Classes are posted under signature coordinates; a list first links its
     members to its smallest one, then compares what is still in different components. Every link is confirmed on full
-    sets. ``matches`` of ``size`` coordinates is 4.5 standard deviations below the expectation at the threshold: fewer
-    than 1 in 100,000 pairs just at the threshold are missed.
+    sets. ``matches`` of ``size`` coordinates is 4.5 standard deviations below the expectation at the threshold:
+    about 1 in 69,000 pairs just at the threshold is missed.
 
     Null, empty or blank text has no shingles and is linked with nothing. Rows that repeat an id are one document with
     several texts: they count as linked, and each row is returned. Null ids form one such document. An empty table
