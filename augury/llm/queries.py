@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leaks, licenses, neardup, packing, phrases, private, repeats, sharding, warc
+from . import (language, leaks, licenses, neardup, negatives, packing, phrases, private, repeats, sentencepieces, sharding,
+               variants, warc)
 from .common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +28,9 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op4_warc", """
@@ -148,3 +149,39 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_private")
 def op10_private(spark: SparkSession, folder: str) -> DataFrame:
     return private.replace_private(documents(spark, folder, "doc_id", "text"), key="surrogates-1")
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = sentencepieces.encode_pieces(documents(spark, folder, "doc_id", "text"), model).select("doc_id", "ids")
+    read = sentencepieces.decode_pieces(coded, model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_variants")
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = saved(variants.word_counts(documents(spark, folder, "doc_id", "text")), "variant-words")
+    return variants.variant_forms(words)
+
+
+@query("op13_negatives", """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT s.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM s JOIN p ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) <= 3""")
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = negatives.usable(spark.read.parquet(f"{folder}/embeddings.parquet")).withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows)
