@@ -111,41 +111,77 @@ def key_of(counts: list[int]) -> str:
     return ",".join(map(str, counts))
 
 
+class Leaf(dict):
+    """Many words with the same counts, by half: one edit leaves the first or the last half of the shorter word alone."""
+
+    def put(self, entry: tuple) -> None:
+        word = entry[0]
+        size = len(word)
+        for half in {(size - 1) // 2, size // 2}:
+            self.setdefault((size, half, word[:half]), []).append(entry)
+            self.setdefault((size, -half, word[size - half:]), []).append(entry)
+
+    def alike(self, word: str) -> dict[str, tuple]:
+        size, half = len(word), len(word) // 2
+        keys = [(n, h, part) for n in (size, size + 1) for h, part in ((half, word[:half]), (-half, word[size - half:]))]
+        return {e[0]: e for key in keys for e in self.get(key, ())}
+
+
 class Trie:
-    """The words of one node by their counts below it."""
+    """The words of one node by their counts below it. A branch of few words is a list; it grows into a level."""
 
-    def __init__(self, depth: int, groups: int):
-        self.depth, self.groups, self.root = depth, groups, {}
+    def __init__(self, depth: int, groups: int, few: int = 12):
+        self.depth, self.groups, self.few = depth, groups, few
+        self.root: dict | list = []
 
     def add(self, word: str, n: int) -> None:
-        node = self.root
-        for c in counts_of(word, self.groups)[self.depth:]:
-            node = node.setdefault(c, {})
-        node.setdefault("words", []).append((word, n))
-
-    def near(self, word: str, node: list[int]) -> Iterator[tuple[str, int]]:
+        self.root = self._with(self.root, self.depth, (word, n, counts_of(word, self.groups)))
+
+    def _with(self, at: dict | list, level: int, entry: tuple) -> dict | list:
+        if isinstance(at, list):
+            at.append(entry)
+            if len(at) <= self.few:
+                return at
+            grown: dict = Leaf() if level == self.groups else {}
+            for e in at:
+                self._put(grown, level, e)
+            return grown
+        self._put(at, level, entry)
+        return at
+
+    def _put(self, at: dict, level: int, entry: tuple) -> None:
+        if isinstance(at, Leaf):
+            at.put(entry)
+        else:
+            c = entry[2][level]
+            at[c] = self._with(at.get(c, []), level + 1, entry)
+
+    def near(self, word: str, own: list[int], node: list[int]) -> Iterator[tuple[str, int]]:
         """Words one edit away in this node that come after ``word``: longer, or greater in (counts, word)."""
-        own = counts_of(word, self.groups)
         spent = [a - b for a, b in zip(node, own)]
-        todo = [(self.root, self.depth, 1 - (1 in spent), 1 - (-1 in spent))]
+        todo = [(self.root, self.depth, 1 not in spent, -1 not in spent)]
+        size = len(word)
+        first, last = word[:size // 2], word[size - size // 2:]
         while todo:
             at, level, surplus, deficit = todo.pop()
-            if level == self.groups:
-                for other, n in at.get("words", ()):
-                    # Same counts: the smaller word finds the greater. Else the surplus came first.
-                    if (surplus == 0 or word < other) and one_edit(word, other):
+            if isinstance(at, list) or level == self.groups:
+                near = at if isinstance(at, list) else at.alike(word).values()
+                for other, n, counts in near:
+                    if (other.startswith(first) or other.endswith(last)) and one_edit(word, other) and (
+                            len(other) > size or (len(other) == size and (counts, other) > (own, word))):
                         yield other, n
                 continue
             c = own[level]
             if c in at:
                 todo.append((at[c], level + 1, surplus, deficit))
-            if surplus and c + 1 in at:
-                todo.append((at[c + 1], level + 1, 0, deficit))
-            if deficit and not surplus and c - 1 in at:
-                todo.append((at[c - 1], level + 1, surplus, 0))
+            if surplus:
+                if c + 1 in at:
+                    todo.append((at[c + 1], level + 1, False, deficit))
+            elif deficit and c - 1 in at:
+                todo.append((at[c - 1], level + 1, False, False))
 
 
-def near_words(words: DataFrame, groups: int = GROUPS, top: int = 4, most: int = 20_000) -> DataFrame:
+def near_words(words: DataFrame, groups: int = GROUPS, top: int = 4, most: int = 50_000) -> DataFrame:
     """(a, na, b, nb): every pair of different words one edit apart, once. ``words`` has distinct ``word`` and ``n``.
 
     A node of ``most`` words or fewer is one trie in a task. A leaf with more words is split by hash, and visitors go to
@@ -202,7 +238,7 @@ def near_words(words: DataFrame, groups: int = GROUPS, top: int = 4, most: int =
                     trie = Trie(len(at), groups)
                 for word, n, _, _, visitor in members:
                     if visitor:
-                        found += [(word, n, other, m) for other, m in trie.near(word, at)]
+                        found += [(word, n, other, m) for other, m in trie.near(word, counts_of(word, groups), at)]
                     else:
                         trie.add(word, n)
             columns = zip(*found) if found else [[]] * 4
