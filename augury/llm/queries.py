@@ -153,9 +153,8 @@ def op10_private(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op11_pieces")
 def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    coded = sentencepieces.encode_pieces(documents(spark, folder, "doc_id", "text"), model).select("doc_id", "ids")
-    read = sentencepieces.decode_pieces(coded, model)
+    read = sentencepieces.encode_pieces(documents(spark, folder, "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"),
+                                        decoded_out="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
