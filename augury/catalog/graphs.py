@@ -203,7 +203,7 @@ def _(t):
     return _strata(t).groupBy(*graph.STRATUM).agg(F.count("*").alias("edges"))
 
 
-SEED = 11
+SEED, SWEEPS = 11, 5
 _S = ", ".join(graph.STRATUM)
 def _sweep_sql(number, before):
     """One sweep as SQL over the state CTE ``before`` (pre, post, origin, stratum columns)."""
@@ -225,7 +225,7 @@ def _sweep_sql(number, before):
 
 _START = f"{KEPT}, state0 AS (SELECT pre, post, post AS origin, {_S}, pre = post AS fixed FROM typed)"
 _SWEEP = f"{_START}{_sweep_sql(0, 'state0')}, after AS (SELECT * FROM state1)"
-_SWEEPS = f"{_START}{''.join(_sweep_sql(i, f'state{i}') for i in range(3))}, after AS (SELECT * FROM state3)"
+_SWEEPS = f"{_START}{''.join(_sweep_sql(i, f'state{i}') for i in range(SWEEPS))}, after AS (SELECT * FROM state{SWEEPS})"
 
 
 def _one_sweep(t):
@@ -246,7 +246,7 @@ SELECT count(*) AS nodes, {", ".join(f"count(*) FILTER (o.{c} IS DISTINCT FROM n
     AS changed_strata
 FROM old o FULL JOIN new n USING (id)""")
 def _(t):
-    return rewire.invariants(_strata(t), rewire.rewire(_strata(t), SEED, 3))
+    return rewire.invariants(_strata(t), rewire.rewire(_strata(t), SEED, SWEEPS))
 
 
 @query("change_report", "edges nodes", f"""{_SWEEP}
@@ -258,7 +258,7 @@ def _(t):
 
 @query("rewire_sweeps", "edges nodes", f"{_SWEEPS} SELECT pre, origin, post, {_S} FROM after")
 def _(t):
-    return rewire.rewire(_strata(t), SEED, 3).select("pre", "origin", "post", *graph.STRATUM)
+    return rewire.rewire(_strata(t), SEED, SWEEPS).select("pre", "origin", "post", *graph.STRATUM)
 
 
 @query("edge_scale", "edges nodes", f"""{KEPT}
@@ -387,24 +387,23 @@ def _(t):
 
 @query("interleave", sql="""
 WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS side, row_number() OVER (PARTITION BY p_partkey % 2
-    ORDER BY sha256(concat_ws(':', 'contact-01', p_partkey))) AS k FROM part WHERE p_type IN ('PROMO', 'ECONOMY')),
+    ORDER BY sha256(concat_ws(':', 'contact-01', p_partkey))) AS k FROM part),
  shortest AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM k GROUP BY side))
 SELECT (k - 1) * 2 + CASE side WHEN 'R' THEN 2 ELSE 1 END AS position, p_partkey, side FROM k, shortest WHERE k <= n""")
 def _(t):
-    rows = t.read("part").where("p_type IN ('PROMO', 'ECONOMY')").select("p_partkey", F.expr(
+    rows = t.read("part").select("p_partkey", F.expr(
         "CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END").alias("side"))
     return selection.interleave(rows, "p_partkey", "side", ["L", "R"], "contact-01")
 
 
-@query("slot_assign", "edges all_nodes", """, strength AS (SELECT name, sum(contacts) AS strength FROM edges JOIN all_nodes ON post = id
-    WHERE transmitter = 'acetylcholine' GROUP BY name HAVING sum(contacts) >= 50),
+@query("slot_assign", "edges all_nodes", """, strength AS (SELECT name, sum(contacts) AS strength FROM edges JOIN all_nodes ON post = id GROUP BY name),
  kept AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY strength, name) AS s FROM strength),
  dealt AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS r, n // 5 AS per FROM kept WHERE s > n % 5)
 SELECT name, CAST(strength AS BIGINT) AS strength, CAST(r % 5 AS INTEGER) AS feature, round(CASE WHEN per > 1 THEN -1.5 + (r // 5) * 3.0 /
   (per - 1) ELSE 0 END, 6) + 0.0 AS centre FROM dealt""")
 def _(t):
-    ports = t.all_nodes().where("transmitter = 'acetylcholine'").select(F.col("id").alias("post"), "name")
-    strength = t.edges().join(ports, "post").groupBy("name").agg(F.sum("contacts").alias("strength")).where("strength >= 50")
+    ports = t.all_nodes().select(F.col("id").alias("post"), "name")
+    strength = t.edges().join(ports, "post").groupBy("name").agg(F.sum("contacts").alias("strength"))
     out = selection.slot_assign(strength, "name", "strength", 5)
     return out.withColumn("centre", F.round("centre", 6))
 

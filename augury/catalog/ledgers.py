@@ -119,17 +119,17 @@ def _(t):
 
 @query("upcoming_with_pick", "forecasts", f"""{_SNAPSHOT}, latest AS (SELECT * FROM (SELECT game_id, forecast_id, source_key
     + CASE WHEN l_suppkey % 6 = 0 THEN 1 ELSE 0 END AS feature, sha256(concat_ws('|', sport, home_key, away_key,
-    CAST(fixture_start AS VARCHAR))) AS revision, row_number() OVER (PARTITION BY game_id ORDER BY saved_at DESC,
-    forecast_id) AS rn FROM forecasts WHERE model = 'm1') WHERE rn = 1)
-SELECT s.game_id, s.sport, CAST(s.start_time AS VARCHAR) AS start_time, CASE WHEN l.revision = s.revision AND
+    CAST(fixture_start AS VARCHAR))) AS revision, model, row_number() OVER (PARTITION BY game_id, model ORDER BY saved_at DESC,
+    forecast_id) AS rn FROM forecasts) WHERE rn = 1), models AS (SELECT DISTINCT model FROM forecasts)
+SELECT s.game_id, m.model, s.sport, CAST(s.start_time AS VARCHAR) AS start_time, CASE WHEN l.revision = s.revision AND
   l.feature = s.source_key THEN forecast_id END AS pick_id
-FROM snapshot s LEFT JOIN latest l USING (game_id) WHERE status = 'scheduled' AND start_time > TIMESTAMP '1998-01-01'""")
+FROM snapshot s CROSS JOIN models m LEFT JOIN latest l ON l.game_id = s.game_id AND l.model = m.model WHERE status = 'scheduled' AND start_time > TIMESTAMP '1998-01-01'""")
 def _(t):
     features = F.col("source_key").cast("string")
     games = snapshot(t).withColumn("feature_hash", F.sha2(features, 256))
     changed = F.when(F.col("l_suppkey") % 6 == 0, 1).otherwise(0)
     own = t.games().select("game_id", "source_key")
-    rows = picks(t).where("model = 'm1'").join(own, "game_id").withColumn(
+    rows = picks(t).join(own, "game_id").withColumn(
         "feature_hash", F.sha2((F.col("source_key") + changed).cast("string"), 256))
     out = ledger.upcoming_with_pick(games, rows, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
     return out.withColumn("start_time", F.col("start_time").cast("string"))

@@ -66,15 +66,20 @@ def _(t):
                                   "game_id")
 
 
-@query("id_difference", "forecasts quotes", """
-SELECT game_id, CASE WHEN l = 1 THEN 'left_only' ELSE 'right_only' END AS side FROM (
-  SELECT game_id, max(l) AS l, max(r) AS r FROM (
-    SELECT game_id, 1 AS l, 0 AS r FROM forecasts WHERE outcome IS NOT NULL AND model = 'm1' UNION ALL
-    SELECT true_game_id, 0, 1 FROM quotes WHERE sportsbook = 'R') GROUP BY game_id) WHERE l <> r""")
+@query("id_difference", "forecasts quotes", """, l AS (SELECT model, game_id FROM forecasts WHERE outcome IS NOT NULL GROUP BY ALL),
+ r AS (SELECT sportsbook, true_game_id AS game_id FROM quotes GROUP BY ALL)
+SELECT model, sportsbook, game_id, CASE WHEN bool_or(l) THEN 'left_only' ELSE 'right_only' END AS side FROM (
+  SELECT model, sportsbook, game_id, true AS l FROM l, (SELECT DISTINCT sportsbook FROM quotes) UNION ALL
+  SELECT model, sportsbook, game_id, false FROM r, (SELECT DISTINCT model FROM forecasts)) GROUP BY ALL HAVING count(*) = 1""")
 def _(t):
-    left = finals(t).where("model = 'm1'").select("game_id")
-    right = t.quotes().where("sportsbook = 'R'").select(F.col("true_game_id").alias("game_id"))
-    return audit.id_difference(left, right, "game_id")
+    """Every model against every book."""
+    models = t.forecasts().select("model").distinct().agg(F.collect_list("model")).scalar()
+    books = t.quotes().select("sportsbook").distinct().agg(F.collect_list("sportsbook")).scalar()
+    left = finals(t).select("model", "game_id").distinct().select("model", books.alias("b"), "game_id").select(
+        "model", F.explode("b").alias("sportsbook"), "game_id")
+    right = t.quotes().select("sportsbook", F.col("true_game_id").alias("game_id")).distinct().select(
+        models.alias("m"), "sportsbook", "game_id").select(F.explode("m").alias("model"), "sportsbook", "game_id")
+    return audit.id_difference(left, right, ["model", "sportsbook", "game_id"])
 
 
 @query("matrix_complete", "trials", """, cells AS (SELECT unit, condition, seed_set, count(*) AS n FROM trials GROUP BY ALL),

@@ -79,13 +79,13 @@ def _(t):
     return rounded(panel.contrast_criteria(_arms(t), ["view", "error"]), ["mean", "null_scale"])
 
 
-@query("pairwise_jaccard", "trials", """, s AS (SELECT DISTINCT condition || '-' || seed_set AS name, unit FROM trials WHERE value > 60),
+@query("pairwise_jaccard", "trials", """, s AS (SELECT DISTINCT condition || '-' || seed_set AS name, unit FROM trials),
  n AS (SELECT name, count(*) AS size FROM s GROUP BY name),
  p AS (SELECT a.name AS a, b.name AS b, count(*) AS shared FROM s a JOIN s b ON a.unit = b.unit AND a.name < b.name GROUP BY ALL)
 SELECT x.name AS a, y.name AS b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / greatest(x.size + y.size - coalesce(shared, 0), 1), 6)
   AS jaccard FROM n x JOIN n y ON x.name < y.name LEFT JOIN p ON p.a = x.name AND p.b = y.name""")
 def _(t):
-    rows = t.trials().where("value > 60").select(F.concat_ws("-", "condition", "seed_set").alias("name"), "unit")
+    rows = t.trials().select(F.concat_ws("-", "condition", "seed_set").alias("name"), "unit")
     return rounded(panel.pairwise_jaccard(rows, "name", "unit"), ["jaccard"])
 
 

@@ -204,19 +204,19 @@ def _(t):
     return scoring.fingerprint(t.games().where("outcome is not null").select("game_id"), "game_id")
 
 
-@query("coverage_check", "forecasts", """, picks AS (SELECT game_id, outcome, CAST(fixture_start AS VARCHAR) AS start_text
-    FROM forecasts WHERE sport = 'soccer' AND model = 'm1'),
- side AS (SELECT game_id, count(*) AS n, min(outcome) AS o, min(start_text) AS s FROM picks GROUP BY game_id),
- fixtures AS (SELECT game_id, outcome AS o, CAST(start_time AS VARCHAR) AS s FROM games WHERE sport = 'soccer')
-SELECT game_id, CASE WHEN f.s IS NULL THEN 'only_left' WHEN n IS NULL THEN 'only_right' WHEN n > 1 THEN 'duplicate'
+@query("coverage_check", "forecasts", """, models AS (SELECT DISTINCT model FROM forecasts),
+ side AS (SELECT model, game_id, count(*) AS n, min(outcome) AS o, min(CAST(fixture_start AS VARCHAR)) AS s FROM forecasts GROUP BY ALL),
+ fixtures AS (SELECT model, game_id, outcome AS o, CAST(start_time AS VARCHAR) AS s FROM games, models)
+SELECT model, game_id, CASE WHEN f.s IS NULL THEN 'only_left' WHEN n IS NULL THEN 'only_right' WHEN n > 1 THEN 'duplicate'
   WHEN p.o IS DISTINCT FROM f.o OR p.s IS DISTINCT FROM f.s THEN 'mismatch' ELSE 'matched' END AS state
-FROM side p FULL JOIN fixtures f USING (game_id)""")
+FROM side p FULL JOIN fixtures f USING (model, game_id)""")
 def _(t):
+    """Every model's forecasts against all fixtures."""
     text = F.col("start_time").cast("string").alias("start_text")
-    picks = t.forecasts().where("sport = 'soccer' AND model = 'm1'").select(
-        "game_id", "outcome", F.col("fixture_start").cast("string").alias("start_text"))
-    fixtures = t.games().where("sport = 'soccer'").select("game_id", "outcome", text)
-    return scoring.coverage_check(picks, fixtures, "game_id", ["outcome", "start_text"])
+    picks = t.forecasts().select("model", "game_id", "outcome", F.col("fixture_start").cast("string").alias("start_text"))
+    models = t.forecasts().select("model").distinct().agg(F.collect_list("model")).scalar()
+    fixtures = t.games().select("game_id", "outcome", text, models.alias("m")).select(F.explode("m").alias("model"), "game_id", "outcome", "start_text")
+    return scoring.coverage_check(picks, fixtures, ["model", "game_id"], ["outcome", "start_text"])
 
 
 _PAIRS = f"""{FIRST}, pairs AS (

@@ -164,14 +164,19 @@ def role_states(games: DataFrame, longest: int = 40) -> tuple[DataFrame, DataFra
     return states_as_of(updates, asked, TEAM, longest), states_as_of(updates, asked, by_role, longest)
 
 
-def sweep_features(games: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20, 40)) -> DataFrame:
-    """All swept histories in one pass: pooled and role-specific columns, every form window, every rest transform."""
+def sweep_features(games: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20, 40), ratings: DataFrame | None = None) -> DataFrame:
+    """All swept histories in one pass: pooled and role-specific columns, every form window, every rest transform; with
+    ``ratings`` the rating columns too."""
     pooled, by_role = role_states(games, max(windows))
     rows = attach(games, pooled, STATE)
     renamed = by_role.select(*TEAM, "role", "day", *[F.col(c).alias(f"role_{c}") for c in STATE])
     rows = attach(rows, renamed, [f"role_{c}" for c in STATE], with_role=True)
     typical = F.lit(5.0)
     columns = {}
+    if ratings is not None:
+        rows = attach(rows, ratings, ["rating"])
+        rate = {s: F.coalesce(F.col(f"{s}_rating"), F.lit(1500.0)) for s in ("home", "away")}
+        columns = {f"{s}_elo": r / 2000 for s, r in rate.items()} | {"elo_diff": (rate["home"] - rate["away"]) / 400}
     for side in ("home", "away"):
         for history, prefix in (("pooled", side), ("role", f"{side}_role")):
             for window in windows:

@@ -60,12 +60,13 @@ def pair_verdicts(rows: DataFrame, identity: list[str], role: str, passed: str,
                        ).alias("qualified"))
 
 
-def id_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def id_difference(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """Distinct keys on one side only, in one pass over both sides."""
-    flags = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
-    seen = flags.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r")
-    return seen.select(key, F.when(F.col("l") == 1, "left_only").otherwise("right_only").alias("side"))
+    keys = [key] if isinstance(key, str) else key
+    flags = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    seen = flags.groupBy(*keys).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r")
+    return seen.select(*keys, F.when(F.col("l") == 1, "left_only").otherwise("right_only").alias("side"))
 
 
 def running_sum_check(rows: DataFrame, group: list[str], order: list[str], value: str, recorded: str,

@@ -122,23 +122,24 @@ def first_pick(picks: DataFrame) -> DataFrame:
     return picks.groupBy("game_id").agg(F.min_by("pick_id", F.struct("created_at", "pick_id")).alias("pick_id"))
 
 
-def latest_pick(picks: DataFrame, columns: list[str]) -> DataFrame:
-    """Latest row per event; among equal times the smallest id."""
+def latest_pick(picks: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Latest row per event (and ``by``); among equal times the smallest id."""
     first = F.min_by(F.struct(*columns), F.col("pick_id")).alias("_l")
-    at_time = picks.groupBy("game_id", "created_at").agg(first)
-    return at_time.groupBy("game_id").agg(F.max_by("_l", "created_at").alias("_l")).select("game_id", "_l.*")
+    at_time = picks.groupBy("game_id", *by, "created_at").agg(first)
+    return at_time.groupBy("game_id", *by).agg(F.max_by("_l", "created_at").alias("_l")).select("game_id", *by, "_l.*")
 
 
 def upcoming_with_pick(games: DataFrame, picks: DataFrame, now: Column) -> DataFrame:
-    """Upcoming events with the latest pick of the active run, only if features and revision still match."""
+    """Upcoming events with the latest pick of every model, only if features and revision still match."""
+    models = picks.select("model").distinct().agg(F.array_sort(F.collect_list("model"))).scalar()
     upcoming = games.where((F.col("status") == "scheduled") & (F.col("start_time") > now)).withColumn(
-        "current_revision", fixture_of("start_time"))
+        "current_revision", fixture_of("start_time")).select("*", models.alias("_models")).withColumn("model", F.explode("_models"))
     rows = picks.withColumn("revision", fixture_of("fixture_start"))
-    latest = latest_pick(rows, ["pick_id", "revision", "feature_hash"]).withColumnRenamed(
+    latest = latest_pick(rows, ["pick_id", "revision", "feature_hash"], ("model",)).withColumnRenamed(
         "feature_hash", "pick_features")
-    joined = upcoming.join(latest, "game_id", "left")
+    joined = upcoming.join(latest, ["game_id", "model"], "left")
     fresh = (F.col("revision") == F.col("current_revision")) & (F.col("pick_features") == F.col("feature_hash"))
-    return joined.select("game_id", "sport", "start_time", F.when(fresh, F.col("pick_id")).alias("pick_id"))
+    return joined.select("game_id", "model", "sport", "start_time", F.when(fresh, F.col("pick_id")).alias("pick_id"))
 
 
 def score_forecasts(forecasts: DataFrame, games: DataFrame, previous: DataFrame, now: Column) -> DataFrame:

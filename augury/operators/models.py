@@ -1,25 +1,26 @@
-"""Logistic models on Spark ML with the usual C parameter, fixed folds, and week-resampled ensembles.
+"""Logistic models with the usual C parameter: fold grids, week-resampled ensembles and readouts.
 
-Feature tables are written once (reliable checkpoint) and every fit is a distributed optimisation over them. Fits of
-a grid are independent jobs, so several are submitted at a time.
+Feature tables are written once (reliable checkpoint). All fits of a grid or an ensemble step together (``newton``): each
+pass over the table serves every fit. A single fit can also go to Spark ML.
 """
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixtures import week_start
-from ..functions.probability import log_loss, sigmoid
+from ..functions.probability import FLOOR, sigmoid
 from ..plans.session import stable
+from .newton import Fit, Scale, expit, fit_many, score_many
 from .resample import draw
 
-PARALLEL_FITS = 4
-
 
 def feature_array(names: list[str]) -> Column:
     return F.array(*[F.col(n).cast("double") for n in names])
@@ -59,33 +60,38 @@ def positive(model: LogisticRegressionModel, x: Column) -> Column:
     return sigmoid(total + float(model.intercept))
 
 
+def fit_rows(rows: DataFrame, part: Column, y: Column, names: list[str], weights: Column | None = None) -> DataFrame:
+    """Rows in the form that many fits share: part, class number, columns, weights."""
+    w = F.lit(None).cast("array<double>") if weights is None else weights
+    return rows.select(part.alias("part"), y.cast("int").alias("y"), feature_array(names).alias("x"), w.alias("w"))
+
+
+def part_scales(rows: DataFrame, width: int, floor: float = 0.01, bound: float = 8.0, centred: bool = True) -> dict[str, Scale]:
+    """Mean and floored population deviation of every column by part, in one aggregate."""
+    facts = rows.groupBy("part").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean"),
+                                     F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(width)]).alias("spread"))
+    return {r["part"]: Scale(np.array(r["mean"]) if centred else np.zeros(width), np.maximum(r["spread"], floor), bound)
+            for r in facts.collect()}
+
+
 def grid(features: DataFrame, configs: dict[str, list[str]], folds: list[str], c_values: list[float]) -> DataFrame:
     """Out-of-fold loss of every (config, C): scaled on fit rows, scored on evaluation rows, pooled over folds.
 
-    ``features``: fold, role (fit / evaluation), y (0/1) and every named feature column.
+    ``features``: fold, role (fit / evaluation), y (0/1) and every named feature column. All configs x folds x C values
+    are fitted together.
     """
-    rows = stable(features)
-    spark = rows.sparkSession
-
-    def one(job: tuple[str, str, float]) -> tuple[DataFrame, tuple]:
-        name, fold, c = job
-        names = configs[name]
-        train = rows.where((F.col("fold") == fold) & (F.col("role") == "fit"))
-        mean, std = train_scale(train, names)
-        x = scaled(names, mean, std)
-        model = fit(train, x, F.col("y"), c)
-        p = positive(model, x)
-        held = rows.where((F.col("fold") == fold) & (F.col("role") == "evaluation"))
-        loss = log_loss(F.when(F.col("y") == 1, p).otherwise(1 - p))
-        got = held.agg(F.count(F.lit(1)), F.sum(loss), F.count_if((p >= 0.5) == (F.col("y") == 1))).first()
-        return (name, fold, c, int(got[0]), float(got[1]), int(got[2]), converged(model))
-
-    jobs = [(n, f, c) for n in configs for f in folds for c in c_values]
-    with ThreadPool(PARALLEL_FITS) as pool:
-        results = pool.map(one, jobs)
-    table = spark.createDataFrame(results, "config string, fold string, c double, n long, loss double, hits long, "
-                                           "converged boolean")
-    return table.groupBy("config", "c").agg(
+    names = sorted({c for own in configs.values() for c in own})
+    place = {n: i for i, n in enumerate(names)}
+    rows = stable(features.where(F.col("fold").isin(folds)))
+    train = fit_rows(rows.where("role = 'fit'"), F.col("fold"), F.col("y"), names)
+    held = fit_rows(rows.where("role = 'evaluation'"), F.col("fold"), F.col("y"), names)
+    scales = part_scales(train, len(names))
+    fits = [Fit((config, c), fold, tuple(place[n] for n in own), c)
+            for config, own in configs.items() for fold in folds if fold in scales for c in c_values]
+    solved = fit_many(train, fits, scales)
+    facts = [(i, *f.name, s.converged) for i, (f, s) in enumerate(zip(fits, solved))]
+    named = rows.sparkSession.createDataFrame(facts, "fit int, config string, c double, converged boolean")
+    return score_many(held, fits, solved, scales, FLOOR).join(named, "fit").groupBy("config", "c").agg(
         F.count(F.lit(1)).alias("folds"), F.sum("n").alias("n"), (F.sum("loss") / F.sum("n")).alias("log_loss"),
         (F.sum("hits") / F.sum("n")).alias("accuracy"), F.bool_and("converged").alias("converged"))
 
@@ -110,40 +116,59 @@ def week_weights(rows: DataFrame, day: Column, resamples: int, seed: int) -> Dat
                          .alias("weights"))
 
 
-def quality_interval(rows: DataFrame, home: list[str], away: list[str], day: Column, y: Column, c: float, resamples: int,
-                     seed: int) -> DataFrame:
-    """Per event and side: quality in [0, 1] and its interval from week-resampled coefficient vectors."""
-    keyed = rows.withColumn("_week", week_start(day)).withColumn("_y", y)
-    weights = week_weights(rows, day, resamples, seed)
-    table = stable(keyed.join(weights.withColumnRenamed("week", "_week"), "_week"))
-    delta = [F.col(h) - F.col(a) for h, a in zip(home, away)]
-    spread = table.agg(*[F.greatest(F.stddev_pop(d), F.lit(1e-8)) for d in delta]).first()
-    scale = [float(v) for v in spread]
-    x = F.array(*[d / s for d, s in zip(delta, scale)])
-    main = fit(table, x, F.col("_y"), c)
-
-    def resampled(i: int) -> LogisticRegressionModel:
-        return fit(table, x, F.col("_y"), c, weight=F.col("weights")[i])
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(resampled, range(resamples))
-
-    def score(model: LogisticRegressionModel, names: list[str], role: float) -> Column:
-        total = F.lit(role * float(model.intercept))
-        for name, s, w in zip(names, scale, model.coefficients):
-            total = total + F.col(name) / s * float(w)
-        return total
-
-    sides = {"home": (home, 0.5), "away": (away, -0.5)}
-    both = table.select(F.explode(F.array(*[score(main, n, r) for n, r in sides.values()])).alias("s"))
-    centre, width = both.agg(F.avg("s"), F.greatest(F.stddev_pop("s"), F.lit(1e-8))).first()
-    columns = []
-    for side, (names, role) in sides.items():
-        q = sigmoid((score(main, names, role) - centre) / width)
-        boot = F.array_sort(F.array(*[sigmoid((score(m, names, role) - centre) / width) for m in models]))
-        columns += [q.alias(f"{side}_q"), F.least(q, array_quantile(boot, resamples, 0.025)).alias(f"{side}_low"),
-                    F.greatest(q, array_quantile(boot, resamples, 0.975)).alias(f"{side}_high")]
-    return table.select("game_id", *columns)
+def side_vectors(rows: DataFrame, columns: list[str], centre: list[float]) -> DataFrame:
+    """game_id, home and away: the side's columns less their neutral values, so that an unknown team is near zero."""
+    def side(name: str) -> Column:
+        return F.array(*[F.col(f"{name}_{c}").cast("double") - m for c, m in zip(columns, centre)]).alias(name)
+    return rows.select("game_id", side("home"), side("away"))
+
+
+def quality_interval(rows: DataFrame, columns: list[str], centre: list[float], day: Column, y: Column, c: float, resamples: int,
+                     seed: int, known: str | None = None) -> DataFrame:
+    """Per event and side: quality in [0, 1] and its interval from week-resampled coefficient vectors.
+
+    The main fit and all resamples are solved together. ``known`` names a side column that is 1 for a side with a full
+    history; other sides get the interval [0, 1].
+    """
+    full = [F.lit(True) if known is None else F.coalesce(F.col(f"{s}_{known}") >= 1, F.lit(False)) for s in ("home", "away")]
+    keyed = rows.select("game_id", F.array(*full).alias("_full"), week_start(day).alias("_week"), y.cast("int").alias("y"))
+    weights = week_weights(keyed, F.col("_week"), resamples, seed)
+    table = stable(side_vectors(rows, columns, centre).join(keyed, "game_id").join(
+        weights.withColumnRenamed("week", "_week"), "_week"))
+    delta = F.zip_with("home", "away", lambda h, a: h - a)
+    train = table.select(F.lit("all").alias("part"), "y", delta.alias("x"), F.col("weights").alias("w"))
+    width = len(columns)
+    scales = part_scales(train, width, 1e-8, np.inf, centred=False)
+    if not scales:
+        return table.select("game_id", *[F.lit(None).cast("double").alias(f"{s}_{n}") for s in ("home", "away") for n in ("q", "low", "high")])
+    every = tuple(range(width))
+    fits = [Fit(("main",), "all", every, c), *[Fit((r,), "all", every, c, weight=r) for r in range(resamples)]]
+    solved = [s.beta[0] for s in fit_many(train, fits, scales)]
+    spread, roles = scales["all"].spread, {"home": 0.5, "away": -0.5}
+
+    def main_score(side: str) -> Column:
+        terms = F.zip_with(side, F.array(*[F.lit(float(b / s)) for b, s in zip(solved[0], spread)]), lambda v, b: v * b)
+        return F.aggregate(terms, F.lit(roles[side] * float(solved[0][-1])), lambda a, v: a + v)
+
+    both = table.select(F.explode(F.array(main_score("home"), main_score("away"))).alias("s"))
+    middle, width_ = both.agg(F.avg("s"), F.greatest(F.stddev_pop("s"), F.lit(1e-8))).first()
+    beta = np.array(solved)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch.column(0)]
+            for i, role in ((1, 0.5), (2, -0.5)):
+                v = batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(spread)) / spread
+                q = expit((v @ beta[:, :-1].T + role * beta[:, -1] - middle) / width_)
+                low, high = np.quantile(q[:, 1:], [0.025, 0.975], axis=1)
+                low, high = np.minimum(low, q[:, 0]), np.maximum(high, q[:, 0])
+                sure = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)[:, i - 1]
+                out += [pa.array(q[:, 0]), pa.array(np.where(sure, low, 0.0)), pa.array(np.where(sure, high, 1.0))]
+            yield pa.RecordBatch.from_arrays(out, names=["game_id", *named])
+
+    named = [f"{s}_{n}" for s in ("home", "away") for n in ("q", "low", "high")]
+    return table.select("game_id", "home", "away", "_full").mapInArrow(
+        work, "game_id long, " + ", ".join(f"{n} double" for n in named))
 
 
 def array_quantile(ordered: Column, size: int, q: float) -> Column:
@@ -156,37 +181,39 @@ def array_quantile(ordered: Column, size: int, q: float) -> Column:
 
 def readout(rows: DataFrame, names: list[str], y: Column, train: Column, c: float, intercept: bool) -> DataFrame:
     """Fixed readout of one arm: scale on training rows, fit without (or with) intercept, return coefficients."""
-    fitted = rows.where(train)
-    _, std = train_scale(fitted, names, floor=1e-8)
-    x = F.array(*[F.col(n) / s for n, s in zip(names, std)])
-    model = fit(fitted, x, y, c, intercept=intercept)
-    out = [(n, float(w), float(s)) for n, w, s in zip(names, model.coefficients, std)]
-    out.append(("(intercept)", float(model.intercept), 1.0))
+    fitted = stable(fit_rows(rows.where(train), F.lit("train"), y, names))
+    scales = part_scales(fitted, len(names), 1e-8, np.inf, centred=False)
+    if not scales:
+        return rows.sparkSession.createDataFrame([], "term string, coefficient double, scale double")
+    beta = fit_many(fitted, [Fit(("readout",), "train", tuple(range(len(names))), c, intercept)], scales)[0].beta[0]
+    out = [(n, float(w), float(s)) for n, w, s in zip(names, beta, scales["train"].spread)]
+    out.append(("(intercept)", float(beta[-1]) if intercept else 0.0, 1.0))
     return rows.sparkSession.createDataFrame(out, "term string, coefficient double, scale double")
 
 
+#: Outcomes a sport can have.
+SPORT_CLASSES = {"soccer": [0, 1, 2], "baseball": [0, 2]}
+
+
 def sport_readouts(rows: DataFrame, names: list[str], train: Column, c: float) -> DataFrame:
     """One readout per sport, three-way for soccer and two-way for baseball, scored on the held-out rows.
 
     Sports get equal total weight, so the busier one does not set the regularisation.
     """
-    data = stable(rows.withColumn("_train", train))
-    n = data.where("_train").agg(F.count(F.lit(1))).first()[0]
-    results = []
-    for sport, classes in (("soccer", [0, 1, 2]), ("baseball", [0, 2])):
-        part = data.where(F.col("sport") == sport)
-        fitted = part.where("_train")
-        own = fitted.agg(F.count(F.lit(1))).first()[0]
-        mean, std = train_scale(fitted, names)
-        x = scaled(names, mean, std)
-        label = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("outcome")) - 1
-        model = fit(fitted, x, label, c, weight=F.lit(n / (2.0 * own)),
-                    family="multinomial" if len(classes) > 2 else "binomial")
-        scored = model.transform(part.where("NOT _train").select(
-            array_to_vector(x).alias("features"), label.cast("int").alias("label")))
-        p = vector_to_array("probability")
-        results.append(scored.agg(
-            F.lit(sport).alias("sport"), F.count(F.lit(1)).alias("n"),
-            F.avg(log_loss(F.element_at(p, F.col("label") + 1))).alias("log_loss"),
-            F.avg((F.col("prediction").cast("int") == F.col("label")).cast("int")).alias("accuracy")))
-    return results[0].unionByName(results[1])
+    label = F.lit(None).cast("int")
+    for sport, classes in SPORT_CLASSES.items():
+        own = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("outcome")).cast("int") - 1
+        label = F.when(F.col("sport") == sport, own).otherwise(label)
+    data = stable(rows.select("*", label.alias("_label"), train.alias("_train")).where("_label >= 0"))
+    sizes = {r["sport"]: r["count"] for r in data.where("_train").groupBy("sport").count().collect()}
+    weight = F.lit(None).cast("double")
+    for sport, n in sizes.items():
+        weight = F.when(F.col("sport") == sport, F.lit(sum(sizes.values()) / (len(SPORT_CLASSES) * n))).otherwise(weight)
+    fitted = fit_rows(data.where("_train"), F.col("sport"), F.col("_label"), names, F.array(weight))
+    scales = part_scales(fitted, len(names))
+    fits = [Fit((s,), s, tuple(range(len(names))), c, weight=0, classes=len(SPORT_CLASSES[s])) for s in sorted(scales)]
+    solved = fit_many(fitted, fits, scales)
+    scored = score_many(fit_rows(data.where("NOT _train"), F.col("sport"), F.col("_label"), names), fits, solved, scales, FLOOR)
+    named = rows.sparkSession.createDataFrame([(i, f.part) for i, f in enumerate(fits)], "fit int, sport string")
+    return scored.join(named, "fit").select("sport", "n", (F.col("loss") / F.col("n")).alias("log_loss"),
+                                            (F.col("hits") / F.col("n")).alias("accuracy"))

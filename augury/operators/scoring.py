@@ -112,20 +112,21 @@ def fingerprint(ids: DataFrame, key: str) -> DataFrame:
         F.col("d").alias("fingerprint"), F.col("n").alias("ids"))
 
 
-def coverage_check(left: DataFrame, right: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+def coverage_check(left: DataFrame, right: DataFrame, key: str | list[str], attributes: list[str]) -> DataFrame:
     """One-to-one check of two tables; both sides collapse to one row per key before they meet."""
+    keys = [key] if isinstance(key, str) else key
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"),
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"),
                                    *[F.min(a).alias(f"{name}_{a}") for a in attributes])
 
-    both = side(left, "l").join(side(right, "r"), key, "full_outer")
+    both = side(left, "l").join(side(right, "r"), keys, "full_outer")
     differs = F.lit(False)
     for a in attributes:
         differs = differs | ~F.col(f"l_{a}").eqNullSafe(F.col(f"r_{a}"))
     state = (F.when(F.col("r_n").isNull(), "only_left").when(F.col("l_n").isNull(), "only_right")
              .when((F.col("l_n") > 1) | (F.col("r_n") > 1), "duplicate").when(differs, "mismatch").otherwise("matched"))
-    return both.select(key, state.alias("state"))
+    return both.select(*keys, state.alias("state"))
 
 
 def paired_differences(df: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:

@@ -7,8 +7,10 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Too few events per week or sport at this scale for a model fit or a full cohort; covered at sf0.01.
+# Too few events per fold, week or sport at this scale for a model fit: run on the next larger tables.
 LARGER = {"logistic_grid", "quality_interval", "readout_fit", "sport_readout", "shuffle_control"}
+# Queries that list faults or rare cases, of which the smallest tables hold none.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,15 @@ def test_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - LARGER))
 def test_query(spark, con, name):
     ok, note = compare(spark, con, name, QUERIES[name], SQL.get(name), FOLDER)
-    assert ok or note.startswith("EMPTY"), note
+    assert ok or (name in MAY_BE_EMPTY and note.startswith("EMPTY")), note
+
+
+@pytest.mark.parametrize("name", sorted(LARGER))
+def test_fits(spark, name):
+    rows = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert rows and all(v is not None for r in rows for v in r)
+    losses = [r["log_loss"] for r in rows if "log_loss" in r]
+    assert all(0.3 < x < 1.2 for x in losses)
 
 
 def test_entry(spark):
