@@ -33,7 +33,7 @@ def _running(name, keys, windows):
         max(CAST(start_time AS DATE)) OVER w AS last_day, {forms}
       FROM updates WINDOW w AS (PARTITION BY {keys} ORDER BY start_time, game_id)
       UNION ALL SELECT DISTINCT {keys}, day, 1, NULL, NULL, {empty} FROM asked),
- {name} AS (SELECT * FROM (SELECT {keys}, day, kind, {last} FROM {name}_line
+ {name} AS MATERIALIZED (SELECT * FROM (SELECT {keys}, day, kind, {last} FROM {name}_line
       WINDOW q AS (PARTITION BY {keys} ORDER BY day, kind, start_time, game_id)) WHERE kind = 1)"""
 
 
@@ -118,7 +118,7 @@ def _(t):
     return rows.select("game_id", "sport", "league", "label", *[F.round(n, 6).alias(n) for n in FEATURES])
 
 
-_RATED = f""", numbered AS (
+_RATED = f""", numbered AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY sport, league ORDER BY start_time, game_id) AS rn,
     CASE WHEN sport = 'baseball' THEN 16.0 ELSE 24.0 END AS step,
     CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END AS home_result,
@@ -138,7 +138,7 @@ _RATED = f""", numbered AS (
       CAST(substr(home_key, 2) AS INTEGER) + 1 AS hi, CAST(substr(away_key, 2) AS INTEGER) + 1 AS ai,
       w.ratings[CAST(substr(home_key, 2) AS INTEGER) + 1] AS hr, w.ratings[CAST(substr(away_key, 2) AS INTEGER) + 1] AS ar
     FROM walk w JOIN numbered n ON n.sport = w.sport AND n.league = w.league AND n.rn = w.rn + 1))),
- rated AS (SELECT w.game_id, n.sport, n.league, n.home_key, n.away_key, n.start_time, n.ready_day, home_rating,
+ rated AS MATERIALIZED (SELECT w.game_id, n.sport, n.league, n.home_key, n.away_key, n.start_time, n.ready_day, home_rating,
       away_rating FROM walk w JOIN numbered n USING (game_id))"""
 
 
@@ -155,7 +155,7 @@ def _(t):
   SELECT sport, league, home_key AS team, ready_day AS day, 0 AS kind, start_time, game_id, home_rating AS rating
   FROM rated UNION ALL SELECT sport, league, away_key, ready_day, 0, start_time, game_id, away_rating FROM rated
   UNION ALL SELECT DISTINCT sport, league, team, day, 1, NULL, NULL, NULL FROM asked),
- ratings AS (SELECT * FROM (SELECT sport, league, team, day, kind, last_value(rating IGNORE NULLS) OVER (
+ ratings AS MATERIALIZED (SELECT * FROM (SELECT sport, league, team, day, kind, last_value(rating IGNORE NULLS) OVER (
     PARTITION BY sport, league, team ORDER BY day, kind, start_time, game_id) AS rating FROM rating_line)
     WHERE kind = 1)
 SELECT g.game_id, g.sport, g.league, coalesce(outcome, -1) AS label,

@@ -125,8 +125,12 @@ def _(t):
     return jobs.current_scores(t.spark, log).select("forecast_id", "model", "sport", "status")
 
 
-@query("stream_rating", "games", f"""{_RATED}
-SELECT game_id, {r6("home_rating", 5)} AS home_rating, {r6("away_rating", 5)} AS away_rating FROM rated""", recursive=True)
+@query("stream_rating", "games", f"""{_RATED}, sided AS (
+  SELECT game_id, role, avg(result) OVER (PARTITION BY sport, league, team ORDER BY start_time, game_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS form
+  FROM (SELECT game_id, sport, league, start_time, 'home' AS role, home_key AS team, home_result AS result FROM numbered UNION ALL
+        SELECT game_id, sport, league, start_time, 'away', away_key, 1 - home_result FROM numbered))
+SELECT game_id, {r6("home_rating", 5)} AS home_rating, {r6("away_rating", 5)} AS away_rating, {r6("h.form")} AS home_form, {r6("a.form")} AS away_form
+FROM rated JOIN sided h USING (game_id) JOIN sided a USING (game_id) WHERE h.role = 'home' AND a.role = 'away'""", recursive=True)
 def _(t):
     rows = t.games().drop("source_key")
     source, out, checkpoint = landing(t, "source"), landing(t, "ratings"), landing(t, "checkpoint")
@@ -135,6 +139,6 @@ def _(t):
         return jobs.rating_stream(jobs.read_stream(t.spark, rows.schema, source))
 
     deliver(rows, source, ["year(start_time) < 1997", "year(start_time) = 1997", "year(start_time) > 1997"],
-            lambda: jobs.to_table(stream(), out, checkpoint))
-    return t.spark.read.parquet(out).select("game_id", F.round("home_rating", 5).alias("home_rating"),
-                                            F.round("away_rating", 5).alias("away_rating"))
+            lambda: jobs.to_table(stream(), out, checkpoint, jobs.ROCKS))
+    return t.spark.read.parquet(out).select("game_id", *[F.round(f"{s}_rating", 5).alias(f"{s}_rating") for s in ("home", "away")],
+                                            *[F.round(f"{s}_form", 6).alias(f"{s}_form") for s in ("home", "away")])

@@ -7,12 +7,13 @@ and the current table is a keyed maximum over the log. ``compact`` folds old bat
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from io import StringIO
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.fixtures import event_time, usable_final
 from ..operators.ledger import score_forecasts
@@ -131,32 +132,92 @@ def current_scores(spark: SparkSession, log: str) -> DataFrame:
 
 # --- ratings --------------------------------------------------------------------------------------------------
 
-RATING_OUT = ("game_id long, sport string, league string, home_rating double, away_rating double")
-RATING_STATE = "teams array<string>, ratings array<double>"
+RATING_OUT = "game_id long, sport string, league string, home_rating double, away_rating double, home_form double, away_form double"
+FORM_WINDOW = 5
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance_league(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rating = dict(zip(*state.get)) if state.exists else {}
-    step = STEP.get(key[0], OTHER_STEP)
-    # A micro-batch of one league, bounded by the files per trigger; earlier batches live on only as ratings.
-    rows = pd.concat(list(batches)).sort_values(["start_time", "game_id"])
-    pairs = [advance(rating, h, a, r, step) for h, a, r in zip(rows["home_key"], rows["away_key"], rows["result"])]
-    state.update((list(rating), list(rating.values())))
-    yield pd.DataFrame({"game_id": rows["game_id"], "sport": rows["sport"], "league": rows["league"],
-                        "home_rating": [p[0] for p in pairs], "away_rating": [p[1] for p in pairs]})
+class LeagueRatings(StatefulProcessor):
+    """Ratings and recent results per team of one (sport, league), each team an entry of its own in the state store.
+
+    A batch reads and writes the entries of the teams that played. Results are applied in order of start; a batch of a
+    league that comes in several pieces is laid down in the store by day first, so one day is held at a time.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.teams = handle.getMapState("teams", "team string", "rating double, recent array<double>")
+        self.waiting = handle.getMapState("waiting", "day string", "pieces array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, second = next(rows, None), next(rows, None)
+        if first is None:
+            return
+        if second is None:
+            yield self.apply(key, first)
+            return
+        days: set[str] = set()
+        for piece in chain([first, second], rows):
+            for day, own in piece.groupby(piece["start_time"].dt.strftime("%Y-%m-%d")):
+                known = self.waiting.getValue((day,)) if day in days else None
+                text = own.to_json(orient="records", date_format="iso", date_unit="us")
+                self.waiting.updateValue((day,), ([*(known[0] if known else []), text],))
+                days.add(day)
+        for day in sorted(days):
+            pieces = [pd.read_json(StringIO(t), orient="records", dtype=False, convert_dates=["start_time"])
+                      for t in self.waiting.getValue((day,))[0]]
+            self.waiting.removeKey((day,))
+            yield self.apply(key, pd.concat(pieces))
+
+    def apply(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        step = STEP.get(key[0], OTHER_STEP)
+        rows = rows.sort_values(["start_time", "game_id"])
+        rating, recent = {}, {}
+        for team in {*rows["home_key"], *rows["away_key"]}:
+            known = self.teams.getValue((team,))
+            if known is not None:
+                rating[team] = float(known[0])
+            recent[team] = list(known[1]) if known is not None else []
+        out = []
+        for home, away, result in zip(rows["home_key"], rows["away_key"], rows["result"]):
+            new = advance(rating, home, away, result, step)
+            for team, own in ((home, result), (away, 1.0 - result)):
+                recent[team] = [*recent[team], float(own)][-FORM_WINDOW:]
+            out.append((*new, *(sum(recent[t]) / len(recent[t]) for t in (home, away))))
+        for team, values in recent.items():
+            self.teams.updateValue((team,), (rating[team], values))
+        table = pd.DataFrame(out, columns=["home_rating", "away_rating", "home_form", "away_form"])
+        return pd.concat([rows[["game_id"]].reset_index(drop=True), table], axis=1).assign(sport=key[0], league=key[1])[
+            [f.split()[0] for f in RATING_OUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
 def rating_stream(events: DataFrame) -> DataFrame:
-    """Ratings advanced per (sport, league) in arrival order; a micro-batch is ordered by start before it is applied."""
+    """Ratings and form after every result, per (sport, league) in arrival order; a micro-batch is ordered by start.
+
+    Start it with ``to_table(..., provider=ROCKS)``: state of this kind needs that store.
+    """
     margin = F.col("home_score") - F.col("away_score")
     rows = events.where(usable_final()).select(
         "game_id", "sport", "league", "home_key", "away_key", "start_time",
         F.when(margin > 0, 1.0).when(margin < 0, 0.0).otherwise(0.5).alias("result"))
-    return rows.groupBy("sport", "league").applyInPandasWithState(
-        _advance_league, RATING_OUT, RATING_STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("sport", "league").transformWithStateInPandas(LeagueRatings(), RATING_OUT, "append", "None")
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str, provider: str | None = None) -> StreamingQuery:
+    """Append what has landed to a table. ``provider`` names the state store of this query only."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if provider is not None:
+        conf.set(name, provider)
+    try:
+        return _appended(stream, path, checkpoint)
+    finally:
+        conf.set(name, before)
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet")
              .option("path", path).outputMode("append").start())
     query.awaitTermination()
