@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import checks
+from ..operators import asof, checks
 from ..plans.session import shared_folder
 from ..sources import ingest, sinks
 from .registry import query, r6
@@ -196,3 +196,46 @@ def _(t):
     sinks.write_predictions(wide, folder)
     saved = t.spark.read.parquet(folder)
     return saved.select("game_id", *[F.round(c, 6).alias(c) for c in ("p_m0", "p_m1", "p_m2")])
+
+
+_SAVED = """, saved AS (SELECT *, l_suppkey % 19 = 0 AS missing, CASE WHEN l_suppkey % 17 = 0 THEN 2 - outcome ELSE outcome END AS claimed FROM forecasts),
+ facts AS (SELECT *, count(*) FILTER (NOT missing) OVER (PARTITION BY game_id, model, seed) AS repeats,
+   min(claimed) FILTER (NOT missing) OVER (PARTITION BY game_id) AS low, max(claimed) FILTER (NOT missing) OVER (PARTITION BY game_id) AS high FROM saved)"""
+
+
+@query("ingest_predictions", "forecasts", f"""{_SAVED}
+SELECT format, model, reason, count(*) AS n FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'json' ELSE 'csv' END AS format, model,
+  CASE WHEN missing THEN 'missing_field' WHEN l_suppkey % 13 = 0 THEN 'non_finite' WHEN l_suppkey % 11 = 0 THEN 'probabilities'
+    WHEN claimed IS NULL THEN 'no_outcome' WHEN repeats > 1 THEN 'duplicate' WHEN low <> high THEN 'outcome_disagrees' ELSE 'valid' END AS reason
+  FROM facts) GROUP BY ALL""")
+def _(t):
+    folder = landing(t, "saved")
+    s = F.col("l_suppkey")
+    p = [F.when(s % 11 == 0, F.col("p_home") * 1.5).otherwise(F.col("p_home")), F.when(s % 13 != 0, F.col("p_draw")), F.col("p_away")]
+    rows = t.forecasts().select(
+        s, F.when(s % 19 != 0, F.col("game_id")).alias("game_id"), "sport", "model", "seed",
+        F.when(s % 17 == 0, 2 - F.col("outcome")).otherwise(F.col("outcome")).alias("outcome"),
+        *[c.alias(n) for c, n in zip(p, ingest.PROBABILITIES)])
+    record = F.struct("game_id", "sport", "model", "seed", "outcome", F.array(*ingest.PROBABILITIES).alias("probabilities"))
+    even = rows.where(s % 2 == 0)
+    even.select(F.to_json(F.array(record)).alias("value")).write.text(f"{folder}/json")
+    text = [F.coalesce(F.col(n).cast("string"), F.lit("n/a")).alias(n) for n in ingest.PROBABILITIES]
+    rows.where(s % 2 == 1).select("game_id", "sport", "model", "seed", "outcome", *text).write.option("header", True).csv(f"{folder}/csv")
+    found = ingest.saved_predictions(t.spark, f"{folder}/json", f"{folder}/csv", multi_line=False)
+    judged = checks.saved_prediction_rows(found)
+    return judged.groupBy("format", "model", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_sink", "games", "SELECT game_id, sport, coalesce(outcome, -1) AS label FROM games")
+def _(t):
+    folder = landing(t, "features")
+    sinks.write_features(asof.pregame_features(t.games()), folder)
+    return t.spark.read.parquet(folder).select("game_id", F.col("sport").cast("string").alias("sport"), "label")
+
+
+@query("archive_names", sql="""
+SELECT page_id, replace(replace(stamp, '-', ''), ':', '') || '-pages-' || substr(sha256(url), 1, 12) || '.html' AS name
+FROM (SELECT page_id, url, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM pages)""")
+def _(t):
+    at = F.date_format(F.expr("timestampadd(SECOND, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return t.read("pages").select("page_id", sinks.archive_name(at, F.lit("pages"), F.col("url"), ".html").alias("name"))

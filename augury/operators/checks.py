@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds, text
@@ -48,6 +48,27 @@ def odds_records(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         "start_time", "local_date", "zone", F.col("_number").alias("game_number"), *extra)
 
 
+def saved_prediction_rows(rows: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Saved predictions (game_id, sport, model, seed, outcome, p) with the first reason against each, or null.
+
+    Repeats of one (game, model, seed) and games whose rows state different outcomes are found over all rows with a key.
+    """
+    missing = F.col("game_id").isNull() | F.col("model").isNull() | F.col("p").isNull() | F.col("sport").isNull()
+    judged = rows.withColumn("_missing", missing)
+    counted = F.when(~F.col("_missing"), 1)
+    repeats = F.count(counted).over(Window.partitionBy("game_id", "model", "seed"))
+    stated = F.when(~F.col("_missing"), F.col("outcome"))
+    game = Window.partitionBy("game_id")
+    facts = judged.withColumns({"_repeats": repeats, "_low": F.min(stated).over(game), "_high": F.max(stated).over(game)})
+    finite = (F.size("p") == 3) & F.forall("p", lambda x: F.coalesce((x > float("-inf")) & (x < float("inf")), F.lit(False)))
+    reason = first_reason([
+        (F.col("_missing"), "missing_field"), (~finite, "non_finite"),
+        (~valid_vector(F.col("p"), F.col("sport"), tolerance), "probabilities"), (F.col("outcome").isNull(), "no_outcome"),
+        (~F.col("outcome").isin(0, 1, 2), "outcome"), (F.col("_repeats") > 1, "duplicate"),
+        (F.col("_low") != F.col("_high"), "outcome_disagrees")])
+    return facts.withColumn("reason", reason).drop("_missing", "_repeats", "_low", "_high")
+
+
 def season_rows(items: DataFrame, year: int) -> DataFrame:
     """Strict season scan: one ordered exclusion reason per row, then hard violations among the kept rows.
 

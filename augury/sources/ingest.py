@@ -5,6 +5,8 @@ Every scan is a plain DataFrame over a landing folder, so file listing, splittin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +182,34 @@ def odds_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
         {"date": "local_date", "timezone": "zone"})
 
 
+#: Fields of a saved prediction, and its three probabilities in a delimited file.
+PREDICTION_FIELDS = "game_id string, sport string, model string, seed string, outcome string"
+PROBABILITIES = ["p_home", "p_draw", "p_away"]
+
+
+def saved_predictions(spark: SparkSession, json_path: str | None = None, csv_path: str | None = None,
+                      multi_line: bool = True) -> DataFrame:
+    """Saved predictions from lists of records and from delimited files with a header, every row of every file.
+
+    A field that cannot be read is null: nothing is dropped here, ``checks.saved_prediction_rows`` names what is wrong.
+    """
+    found = []
+    if json_path is not None:
+        rows = _documents(spark, json_path, f"{PREDICTION_FIELDS}, probabilities array<string>", multi_line)
+        found.append(rows.withColumn("format", F.lit("json")))
+    if csv_path is not None:
+        schema = ", ".join([PREDICTION_FIELDS, *[f"{p} string" for p in PROBABILITIES]])
+        rows = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv(csv_path)
+        found.append(rows.withColumns({"probabilities": F.array(*PROBABILITIES), "format": F.lit("csv")}))
+    if not found:
+        raise ValueError("name a folder of predictions")
+    named = [r.select("format", F.col("game_id").try_cast("long").alias("game_id"), F.nullif("sport", F.lit("")).alias("sport"),
+                      F.nullif("model", F.lit("")).alias("model"), _int(F.col("seed")).alias("seed"),
+                      _int(F.col("outcome")).alias("outcome"),
+                      F.transform("probabilities", lambda p: p.try_cast("double")).alias("p")) for r in found]
+    return reduce(DataFrame.unionByName, named)
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Size and SHA-256 of every file below a folder.
 
