@@ -13,8 +13,13 @@ KEY = "surrogates-1"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language profiles from the labelled documents; documents that have no language (no letter at all) go."""
-    found = language.identify(docs, language.fit(docs), lang_out="_found", score_out="_score")
+    """Language profiles from the labelled documents; documents that have no language (no letter at all) go.
+
+    Without any labelled document there is no profile, and texts with a letter stay."""
+    model = language.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model, lang_out="_found", score_out="_score")
     return found.where(F.col("_found") != language.UNDETERMINED).select(*map(col, docs.columns))
 
 
