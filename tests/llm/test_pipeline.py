@@ -37,3 +37,11 @@ def test_rejected_documents_go(spark):
     docs = spark.createDataFrame([(1, "the one and the other", "en", "s", 21), (2, None, "en", "s", 0), (3, "12 34", None, "s", 5)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, FOLDER).collect()] == [1]
+
+
+def test_unlabelled_documents_with_letters_stay(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "words", None, "s", 5), (2, "12 %", None, "s", 4), (3, None, None, "s", 0), (4, "é", None, "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
