@@ -261,6 +261,12 @@ def _(t):
     return rewire.rewire(_strata(t), SEED, SWEEPS).select("pre", "origin", "post", *graph.STRATUM)
 
 
+@query("rewire_report", "edges nodes", f"{_SWEEPS} " + " UNION ALL ".join(
+    f"SELECT {i} AS sweep, (SELECT count(*) FROM pairs{i}) AS proposed, (SELECT count(*) FROM accepted{i}) AS accepted" for i in range(SWEEPS)))
+def _(t):
+    return rewire.rewire_report(_strata(t), SEED, SWEEPS)
+
+
 @query("edge_scale", "edges nodes", f"""{KEPT}
 SELECT pre, post, CAST(CASE WHEN target_type = 'ECONOMY' THEN 0 WHEN transmitter = 'acetylcholine,gaba' THEN -abs(w) ELSE w END AS DOUBLE)
   AS weight FROM (SELECT *, contacts * sign * CASE WHEN source_type = 'PROMO' THEN 0.5 ELSE 1 END::DOUBLE AS w FROM kept)""")

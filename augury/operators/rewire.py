@@ -7,6 +7,8 @@ of the graph, so the random order is ranked in hash buckets, and acceptance is d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,20 @@ def rewire(edges: DataFrame, seed: int, sweeps: int) -> DataFrame:
     return state
 
 
+def rewire_report(edges: DataFrame, seed: int, sweeps: int) -> DataFrame:
+    """(sweep, proposed, accepted): swaps that every sweep tries, two free edges of a stratum each, and those it makes."""
+    state = start(edges)
+    sizes = state.where("NOT fixed").groupBy(*STRATUM).agg(F.floor(F.count(F.lit(1)) / 2).alias("pairs"))
+    parts = []
+    for number in range(sweeps):
+        after = stable(sweep(state, seed, number))
+        made = after.agg(F.floor(F.count_if("moved") / 2).cast("long").alias("accepted"))
+        parts.append(made.select(F.lit(number).alias("sweep"), F.coalesce(
+            sizes.agg(F.sum("pairs")).scalar(), F.lit(0)).cast("long").alias("proposed"), "accepted"))
+        state = after.drop("moved")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def change_report(state: DataFrame) -> DataFrame:
     """Changed destinations per stratum (and overall: null stratum)."""
     changed = F.col("post") != F.col("origin")
