@@ -105,35 +105,49 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "leak.item_id", "leak.distance", "leak.item_chars")
 
 
-#: A document's place in a tree of its source: one to three folders deep.
+#: A document's place in a tree of its source: one to three folders deep; a tenth are licence files.
 PATH = ("concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN concat('a', doc_id DIV 64 % 16) END, "
-        "CASE WHEN doc_id % 3 > 1 THEN concat('b', doc_id DIV 8 % 8) END, concat(doc_id, '.txt'))")
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+        "CASE WHEN doc_id % 3 > 1 THEN concat('b', doc_id DIV 8 % 8) END, "
+        "concat(CASE WHEN doc_id % 10 = 7 THEN 'LICENSE-' ELSE '' END, doc_id, '.txt'))")
+_QUOTE = "'"
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{k} {i}', '{t.replace(_QUOTE, _QUOTE * 2)}')"
+                           for k, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts))
 
 
 @query("op2_licenses", f"""
-WITH files AS (SELECT doc_id, {PATH.replace("DIV", "//")} AS path, text FROM documents),
-stated AS (SELECT path, line, statement FROM (SELECT path, unnest(string_split(text, chr(10))) AS statement,
-             unnest(range(0, len(string_split(text, chr(10))))) AS line FROM files)
-           WHERE regexp_matches(statement, '{licenses.CUE}')),
+WITH files AS (SELECT doc_id, path, text, regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}') AS names
+               FROM (SELECT doc_id, {PATH.replace("DIV", "//")} AS path, text FROM documents)),
+cued AS (SELECT path, names, text, regexp_replace(text, '{licenses.MARKS}', '', 'g') AS plain FROM files
+         WHERE regexp_matches(text, '{licenses.CUE}')),
+blocks AS (
+  SELECT path, 'line' AS kind, unnest(string_split(text, chr(10))) AS block, unnest(range(0, len(string_split(text, chr(10))))) = 0 AS top FROM cued
+  UNION ALL SELECT path, 'block', unnest(regexp_split_to_array(plain, '\n{{2,}}')),
+    unnest(range(0, len(regexp_split_to_array(plain, '\n{{2,}}')))) = 0 FROM cued
+  UNION ALL SELECT path, 'block', regexp_replace(regexp_split_to_array(text, '{licenses.CODE}')[1], '{licenses.MARKS}', '', 'g'), true FROM cued
+  UNION ALL SELECT path, 'block', plain, false FROM cued
+  UNION ALL SELECT path, 'block', array_to_string(regexp_extract_all(lower(text), '{licenses.WORD}')[1:{licenses.OPENING}], ' '), false
+    FROM cued WHERE names),
+stated AS (SELECT path, kind, top, block AS statement FROM blocks WHERE regexp_matches(block, '{licenses.CUE}')),
 counted AS (SELECT statement, count(*) AS n FROM stated GROUP BY ALL),
 terms AS (SELECT statement, n, term, count(*) AS tf FROM (SELECT statement, n,
             unnest(regexp_extract_all(lower(statement), '{licenses.WORD}')) AS term FROM counted) GROUP BY ALL),
-model AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(template), '{licenses.WORD}')) AS term
-          FROM (VALUES {_TEMPLATE_ROWS}) AS t(license, template)) GROUP BY ALL),
+model AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template,
+            unnest(regexp_extract_all(lower(body), '{licenses.WORD}')) AS term
+          FROM (VALUES {_TEMPLATE_ROWS}) AS t(license, template, body)) GROUP BY ALL),
 freq AS (SELECT term, sum(n) AS df FROM terms GROUP BY ALL),
 total AS (SELECT coalesce(sum(n), 0) AS total FROM counted),
 own AS (SELECT statement, term, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM terms LEFT JOIN freq USING (term), total),
-base AS (SELECT license, term, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM model LEFT JOIN freq USING (term), total),
+base AS (SELECT license, template, term, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM model LEFT JOIN freq USING (term), total),
 scored AS (SELECT statement, license, round(dot / (s * b), 6) AS score
-           FROM (SELECT statement, license, sum(own.w * base.w) AS dot FROM own JOIN base USING (term) GROUP BY ALL)
+           FROM (SELECT statement, license, template, sum(own.w * base.w) AS dot FROM own JOIN base USING (term) GROUP BY ALL)
            JOIN (SELECT statement, sqrt(sum(w * w)) AS s FROM own GROUP BY ALL) USING (statement)
-           JOIN (SELECT license, sqrt(sum(w * w)) AS b FROM base GROUP BY ALL) USING (license)),
-named AS (SELECT path, line, license, score FROM stated JOIN
+           JOIN (SELECT template, sqrt(sum(w * w)) AS b FROM base GROUP BY ALL) USING (template)),
+named AS (SELECT path, top, license, score FROM stated JOIN
            (SELECT * FROM scored WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY statement ORDER BY score DESC, license) = 1)
-           USING (statement)),
+           USING (statement) WHERE score >= CASE kind WHEN 'line' THEN 0.6 ELSE 0.75 END),
 mine AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
-tops AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, path, license, score FROM named WHERE line = 0),
+tops AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, path, license, score FROM named
+         WHERE top OR regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}')),
 folder AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY up ORDER BY score DESC, license, path) = 1),
 near AS (SELECT f.path, d.license, d.score, d.path AS src FROM files f JOIN folder d
            ON starts_with(f.path, d.up || '/') QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.up) DESC) = 1)
