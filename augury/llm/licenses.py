@@ -156,7 +156,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     such a line, paragraph or header, declares its licence for its directory; a file without its own inherits from the nearest
     directory above that has one.
 
-    Equal blocks are counted once and travel as a digest. Ties go to the smaller licence name, then path. Null text has no
+    Equal blocks are counted once and travel as a digest of 128 bits. Ties go to the smaller licence name, then path. Null text has no
     block; a null path has no directory. Rows that repeat a path share the best licence found in any of them and each is
     returned. Very long texts are compared whole. An empty table gives no row; other columns are ignored. A directory that
     holds most files is dealt to SALTS parts before files meet its licence.
@@ -166,7 +166,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     name = F.regexp_extract("path", "[^/]*$", 0)
     blocks = rows.where(F.col("text").rlike(cue)).select(
         "path", F.inline(blocks_of(F.col("text"), F.coalesce(name.rlike(licence_file), F.lit(False)))))
-    stated = saved(blocks.where(F.col("block").rlike(cue)).withColumn("digest", F.sha2("block", 256)), "blocks")
+    stated = saved(blocks.where(F.col("block").rlike(cue)).withColumn("digest", F.unhex(F.substring(F.sha2("block", 256), 1, 32))), "blocks")
     counted = stated.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("block"))
     terms = counted.select("digest", "n", F.explode(words(F.col("block"))).alias("term")).groupBy("digest", "n", "term").agg(
         F.count(F.lit(1)).alias("tf"))
