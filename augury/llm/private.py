@@ -13,18 +13,20 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κύριος", "Mrs|Ms|Miss|Fra
 HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:(?:[_.\-]|(?<=[a-z])(?=[A-Z0-9]))[A-Za-z0-9_.\-]{1,24})?[\"']?[ \t]{0,3}[=:]>?[ \t]{0,3}"
-              r"(?:[\"'][^\"'\s]{8,}|[\"']?[A-Za-z0-9_+/\-]{8,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,8})",
-    "email": r"[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+              r"(?:[\"'][^\"'\s]{8,}|(?:(?<=[=:>])|(?=[A-Za-z0-9_+/\-]{0,200}(?:[0-9_+/]|[a-z][A-Z])))[A-Za-z0-9_+/\-]{8,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,8})",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b(?:[2-6][0-9]{3}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ \-]?)[0-9]{6}\2[0-9]{5})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}\b|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}\b|\b[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}\b",
-    "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,40}}[0-9])(?:(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|::(?:{HEX}:){{0,6}}{HEX}))(?![0-9A-Za-z:])",
     "person": rf"\b(?:{MALE}|{FEMALE})\b\.?[  ]\p{{Lu}}\p{{Ll}}{{1,30}}(?:[  ]\p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A whole word that may mention a person again, without the title.
+MENTION = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,30}(?![\p{L}\p{N}_])"
 #: Parts of surrogate names by script: given names by gender, syllables of family names (fixed values).
 NAMES = {
     "latin": {"m": "Albert Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oscar Paul".split(),
@@ -74,6 +76,22 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), term), F.lit(0), lambda a, b: a + b) % 10
 
 
+def mod97(text: Column) -> Column:
+    """Remainder of an account number read with its first four characters last and letters as 10 to 35; 1 for a valid IBAN."""
+    turned = F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4)))
+    def step(total: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 58, total * 10 + code - 48).otherwise(total * 100 + code - 55) % 97
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(turned, i, F.lit(1))), F.lit(0), step)
+
+
+def is_iban(entity: Column) -> Column:
+    """Valid as it stands, or its first groups are (words in capitals may follow an account number)."""
+    groups = F.split(entity, " ")
+    return F.exists(F.sequence(F.lit(1), F.size(groups)), lambda i: (
+        F.length(F.array_join(F.slice(groups, 1, i), "")) >= 15) & (mod97(F.array_join(F.slice(groups, 1, i), "")) == 1))
+
+
 def pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
 
@@ -104,8 +122,13 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     body = F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), tail)
     check = (10 - luhn(F.concat(digits(body), F.lit("0")))) % 10
     card = F.when(luhn(digits(value)) == 0, F.concat(body, check.cast("string"))).otherwise(F.concat(shaped, tail))
+    bare = F.replace(F.concat(F.substr(shaped, F.lit(5)), tail), F.lit(" "), F.lit(""))
+    proof = F.lpad((98 - mod97(F.concat(F.substr(shaped, F.lit(1), F.lit(2)), F.lit("00"), bare))).cast("string"), 2, "0")
+    iban = F.when(mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1, F.concat(F.substr(shaped, F.lit(1), F.lit(2)), proof, F.substr(
+        shaped, F.lit(5)), tail)).otherwise(F.concat(shaped, tail))
     out = F.when(kind == "ip", F.when(attempt >= CROWDED, local).otherwise(octets)).when(
-        (kind == "ipv6") & (attempt >= CROWDED), local).when(kind == "email", F.concat(tail, mail)).when(kind == "card", card)
+        (kind == "ipv6") & (attempt >= CROWDED), local).when(kind == "email", F.concat(tail, mail)).when(kind == "card", card).when(
+        kind == "iban", iban)
     more = F.transform(F.sequence(F.lit(1), F.least(F.lit(3) + attempt, F.lit(60))), lambda i: i)
     for script, lists in NAMES.items():
         for gender in "mf":
@@ -125,6 +148,8 @@ def kind_of(entity: Column) -> Column:
         if kind == "card":  # other numbers of that form have no checksum and stay
             digits = F.regexp_replace(entity, "[^0-9]", "")
             kind = F.when(luhn(digits) == 0, kind).otherwise("number")
+        elif kind == "iban":
+            kind = F.when(is_iban(entity), kind).otherwise("number")
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out.otherwise("email")
 
@@ -169,11 +194,27 @@ def distinct_surrogates(units: DataFrame, key: str, most_attempts: int = 40) ->
     raise RuntimeError("no distinct surrogates in the attempts allowed")
 
 
+def mention_names(names: Column) -> Column:
+    """Map of a text's person parts to their surrogates; a word seen as both counts as a family name, then as the smaller surrogate."""
+    ordered = F.array_sort(F.array_distinct(F.flatten(names)))
+    first = F.filter(ordered, lambda x, i: (i == 0) | (x["value"] != F.get(ordered, i - 1)["value"]))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["value"], x["new"])))
+
+
+def mentions_replaced(gap: Column, names: Column) -> Column:
+    """``gap`` with every whole word that is one of ``names`` replaced."""
+    found, between = F.regexp_extract_all(gap, F.lit(MENTION), F.lit(0)), F.split(gap, MENTION, -1)
+    new = F.transform(found, lambda w: F.coalesce(F.try_element_at(names, w), w))
+    return F.array_join(F.flatten(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+
 def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out: str = "n_replaced", kinds_out: str = "kinds") -> DataFrame:
     """Texts with surrogates in place of entities; adds the number of replacements and the kinds found (sorted).
 
     A value gets one surrogate throughout the corpus (a family name the same one under every title), keyed so that it
-    cannot be guessed back. Only texts with entities are shuffled, and their entities are made distinct first.
+    cannot be guessed back. Persons are found behind a title; every other mention of their names in the same text, as a whole
+    word, gets the same surrogate and counts as a replacement. Only texts with entities are shuffled, and their entities are
+    made distinct first.
 
     Null and empty texts stay; texts without an entity stay as they are. Equal rows get equal results. All columns stay;
     a column named like an output is replaced. An empty table gives no row.
@@ -191,15 +232,22 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out
         "entity", "kind", F.posexplode(units_of(entity, F.col("kind"))).alias("at", "u")).select("entity", "kind", "at", "u.*"), "units")
     new = distinct_surrogates(units, key)
     parts = F.array_sort(F.collect_list(F.struct("at", F.concat("before", "new").alias("part"))))
-    mapped = units.join(new, ["unit", "value"]).groupBy("entity", "kind").agg(parts.alias("parts")).select(
-        "entity", "kind", F.array_join(F.col("parts.part"), "").alias("replacement"))
+    person = F.when(F.col("unit").rlike("^(family|given)_"), F.struct("value", F.col("unit").startswith("given").alias("given"), "new"))
+    mapped = units.join(new, ["unit", "value"]).groupBy("entity", "kind").agg(parts.alias("parts"), F.collect_set(person).alias("names")).select(
+        "entity", "kind", "names", F.array_join(F.col("parts.part"), "").alias("replacement"))
     placed = hits.select(row, found).dropDuplicates([row]).select(
         row, F.posexplode(found).alias("at", "entity")).join(mapped, "entity", "left")
     lists = placed.groupBy(row).agg(
         F.array_sort(F.collect_list(F.struct("at", F.coalesce("replacement", "entity").alias("replacement")))).alias("_new"),
-        F.count("replacement").cast("int").alias(count_out), F.array_sort(F.collect_set("kind")).alias(kinds_out))
-    gaps = F.split(text, ANY, -1)
+        F.count("replacement").cast("int").alias(count_out), F.array_sort(F.collect_set("kind")).alias(kinds_out),
+        mention_names(F.collect_list("names")).alias("_names"))
+    plain, names_in = F.split(text, ANY, -1), F.col("_names")
+    named = F.size(names_in) > 0
+    gaps = F.when(named, F.transform(plain, lambda g: mentions_replaced(g, names_in))).otherwise(plain)
+    again = F.when(named, F.aggregate(F.transform(plain, lambda g: F.size(F.filter(
+        F.regexp_extract_all(g, F.lit(MENTION), F.lit(0)), lambda w: F.map_contains_key(names_in, w)))), F.lit(0), lambda a, b: a + b)).otherwise(0)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.col("_new.replacement"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     changed = hits.join(lists, row).select(
-        *[joined.alias(c) if c == text_col else col(c) for c in names], F.col(count_out), F.col(kinds_out))
+        *[joined.alias(c) if c == text_col else col(c) for c in names],
+        (F.col(count_out) + again).alias(count_out), F.col(kinds_out))
     return clean.unionByName(changed)
