@@ -12,19 +12,31 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κυρία"
 HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:(?:[_.\-]|(?<=[a-z])(?=[A-Z0-9]))[A-Za-z0-9_.\-]{1,24})?[\"']?[ \t]{0,3}[=:]>?[ \t]{0,3}"
+    "secret": r"(?=[pstaPSTA])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:(?:[_.\-]|(?<=[a-z])(?=[A-Z0-9]))[A-Za-z0-9_.\-]{1,24})?[\"']?[ \t]{0,3}[=:]>?[ \t]{0,3}"
               r"(?:[\"'][^\"'\s]{8,}|(?:(?<=[=:>])|(?=[A-Za-z0-9_+/\-]{0,200}(?:[0-9_+/]|[a-z][A-Z])))[A-Za-z0-9_+/\-]{8,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,8})",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b(?:[2-6][0-9]{3}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ \-]?)[0-9]{6}\2[0-9]{5})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}\b|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}\b|\b[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}\b",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,40}}[0-9])(?:(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|::(?:{HEX}:){{0,6}}{HEX}))(?![0-9A-Za-z:])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{0,4}}:)(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,40}}[0-9])(?:(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|::(?:{HEX}:){{0,6}}{HEX}))(?![0-9A-Za-z:])",
     "person": rf"\b(?:{MALE}|{FEMALE})\b\.?[  ]\p{{Lu}}\p{{Ll}}{{1,30}}(?:[  ]\p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+def _any() -> str:
+    """All kinds in their order. Only secrets and phones may begin within a word, so inside words the rest is one test."""
+    out, run = [], []
+    for kind, pattern in [*KINDS.items(), (None, None)]:
+        if kind in ("secret", "phone", None):
+            out += ["(?<![0-9A-Za-z])(?:" + "|".join(run) + ")"] if run else []
+            out, run = out + [f"(?:{pattern})"] * (kind is not None), []
+        else:
+            run.append(f"(?:{pattern})")
+    return "|".join(out)
+
+
+ANY = _any()
 #: A whole word that may mention a person again, without the title.
 MENTION = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,30}(?![\p{L}\p{N}_])"
 #: Parts of surrogate names by script: given names by gender, syllables of family names (fixed values).
@@ -214,7 +226,7 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out
     A value gets one surrogate throughout the corpus (a family name the same one under every title), keyed so that it
     cannot be guessed back. Persons are found behind a title; every other mention of their names in the same text, as a whole
     word, gets the same surrogate and counts as a replacement. Only texts with entities are shuffled, and their entities are
-    made distinct first.
+    made distinct first. All rows are written once with what was found in them.
 
     Null and empty texts stay; texts without an entity stay as they are. Equal rows get equal results. All columns stay;
     a column named like an output is replaced. An empty table gives no row.
@@ -223,9 +235,10 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", count_out
     docs = docs.select(*map(col, names))
     text, row = col(text_col), fresh(names, "_row")
     found, entity = fresh(names, "_entities"), F.col("entity")
-    hits = saved(docs.where(text.rlike(ANY)).withColumn(found, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(
-        row, F.unhex(F.md5(text))), "entities")
-    clean = docs.where(text.isNull() | ~text.rlike(ANY)).select(
+    scanned = saved(docs.withColumn(found, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), "entities")  # the patterns run once
+    some = F.coalesce(F.size(col(found)), F.lit(0)) > 0
+    hits = scanned.where(some).withColumn(row, F.unhex(F.md5(text)))
+    clean = scanned.where(~some).select(
         *map(col, names), F.lit(0).alias(count_out), F.array().cast("array<string>").alias(kinds_out))
     listed = hits.select(F.explode(found).alias("entity")).distinct()
     units = saved(listed.withColumn("kind", kind_of(entity)).select(
