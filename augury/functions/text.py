@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +44,9 @@ BASEBALL_ALIASES = {
 
 
 def _ascii_folds() -> tuple[str, str, dict[str, str]]:
-    """Derive from Unicode which characters decompose to one ASCII character and which to several."""
+    """Derive from all of Unicode which characters decompose to one ASCII character and which to several."""
     single, several = {}, {}
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2150), *range(0xFB00, 0xFB07),
-                 *range(0xFF01, 0xFF5F)]:
+    for code in range(0x80, sys.maxunicode + 1):
         folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(folded) == 1:
             single[chr(code)] = folded
@@ -69,9 +68,12 @@ def _once(value: Column, use) -> Column:
 
 
 def ascii_fold(text: Column) -> Column:
-    """Compatibility-decompose to ASCII and drop what has no ASCII form."""
+    """Compatibility-decompose to ASCII and drop what has no ASCII form. Every Unicode code point is covered."""
+    # One literal, folded to a map once; both separators are ASCII and so never a key.
+    several = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in _FOLD_SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))
+
     def spelled(value: Column) -> Column:
-        return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _FOLD_SEVERAL.items(), value)
+        return F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
 
     folded = F.translate(text, _FOLD_FROM, _FOLD_TO)
     expanded = _once(folded, lambda v: F.when(v.rlike(_SEVERAL_PATTERN), spelled(v)).otherwise(v))
