@@ -101,7 +101,9 @@ def profiles(labelled: DataFrame, profile_size: int = 400, text_col: str = "text
         "text is not null and lang is not null")
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < profile_size).drop("n")
+    # The filter stands on the bare row number, so map tasks already cut every language to its first grams.
+    first = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile_size)
+    return first.select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class RankModel:

@@ -167,11 +167,14 @@ class OpenBins:
 def pack(pieces: DataFrame, max_tokens: int = 4096, open_bins: int = 1024, pieces_per_task: int = 150_000) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` of 1 to ``max_tokens``; other columns are kept.
 
+    Columns of the input named ``sequence_id`` or ``offset`` are replaced. Rows whose length is null or outside that range
+    are kept with a null place. Repeated rows are placed one by one; an empty table gives an empty result.
+
     Rows are dealt by hash to tasks of about ``pieces_per_task`` rows and arrive there in hash order; every task packs
     its own stream with ``open_bins`` open bins at most, so memory is bounded and a lost task is simply packed again.
     Offsets within a sequence have no gaps. Sequence numbers are unique; they hold the task in the high bits.
     """
-    kept = saved(pieces, "pieces")
+    kept = saved(pieces.drop("sequence_id", "offset"), "pieces")
     tasks = max(1, ceil(kept.count() / pieces_per_task))
     names, at = kept.columns, kept.columns.index("length")
     spread = F.xxhash64(*[F.col(f"`{n}`") for n in names])
@@ -181,7 +184,8 @@ def pack(pieces: DataFrame, max_tokens: int = 4096, open_bins: int = 1024, piece
         from pyspark import TaskContext
         bins = OpenBins(max_tokens, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(at).to_pylist()]
+            placed = [bins.place(n) if n is not None and 0 < n <= max_tokens else (None, None)
+                      for n in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(names)], pa.array([p[0] for p in placed], pa.int64()),
                  pa.array([p[1] for p in placed], pa.int64())], names=[*names, "sequence_id", "offset"])

@@ -54,3 +54,51 @@ def test_best_fit_and_closing():
     bins = OpenBins(10, 2, 0)
     assert [bins.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # the bin with 7 of 10 was closed
     assert bins.place(4) == (0, 6)
+
+
+def test_clashing_names_and_lengths_without_a_place(spark):
+    rows = spark.createDataFrame(
+        [(1, 4, "old", 7), (2, None, "old", 7), (3, 17, "old", 7), (4, 0, None, 7), (1, 4, "old", 7)],
+        "doc_id long, length long, offset string, sequence_id int")
+    got = sorted(pack(rows, max_tokens=16).collect(), key=lambda r: r["doc_id"])
+    assert got[0].asDict().keys() == {"doc_id", "length", "sequence_id", "offset"}
+    assert [r["offset"] is None for r in got] == [False, False, True, True, True]
+    assert {r["offset"] for r in got[:2]} == {0, 4}
+
+
+def naive_best_fit(lengths, size, most):
+    """Lists instead of bit sets: the fullest bin with room, else a new one; the fullest closes when too many are open."""
+    bins, out, made = [], [], 0
+    for n in lengths:
+        fitting = [b for b in bins if b[1] + n <= size]
+        if fitting:
+            chosen = max(fitting, key=lambda b: (b[1], b[2]))
+            bins.remove(chosen)
+        else:
+            if len(bins) >= most:
+                bins.remove(max(bins, key=lambda b: (b[1], b[2])))
+            chosen = [made, 0, 0]
+            made += 1
+        out.append((chosen[0], chosen[1]))
+        chosen[1] += n
+        chosen[2] = len(out)  # of equally full bins, the one filled last is taken
+        if chosen[1] < size:
+            bins.append(chosen)
+    return out
+
+
+def test_places_against_a_naive_best_fit():
+    import random
+    draw = random.Random(5)
+    for size, most in ((20, 3), (64, 8), (64, 1)):
+        lengths = [draw.randint(1, size) for _ in range(2000)]
+        bins = OpenBins(size, most, 0)
+        assert [bins.place(n) for n in lengths] == naive_best_fit(lengths, size, most)
+
+
+def test_few_more_sequences_than_the_lower_bound(spark):
+    """On the given documents, 2 % above the tokens alone at most."""
+    pieces = token_pieces(spark.read.parquet(f"{SMALL}/documents.parquet"), PATH).select("doc_id", "piece", "length")
+    packed = pack(pieces, 4096)
+    tokens, made = packed.selectExpr("sum(length)", "count(distinct sequence_id)").first()
+    assert made <= 1.02 * -(-tokens // 4096) + 1
