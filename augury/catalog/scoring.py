@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import probability
-from ..operators import matching, resample, scoring
+from ..operators import idtree, matching, resample, scoring
 from .registry import query, r6
 
 BOUNDS = [("train", "1998-01-01"), ("validation", "1999-01-01"), ("test", "2001-01-01")]
@@ -204,6 +204,36 @@ def _(t):
     return scoring.fingerprint(t.games().where("outcome is not null").select("game_id"), "game_id")
 
 
+def _level(depth: int, deepest: int = 7) -> str:
+    """One level of the digest tree: leaves where the tree ends here, folded children otherwise."""
+    rows = f"""SELECT substr(h, 1, {depth}) AS prefix, sha256(string_agg(id, ',' ORDER BY id)) AS digest, count(*) AS n
+  FROM ids WHERE (SELECT depth FROM deep) = {depth} GROUP BY 1"""
+    if depth < deepest:
+        rows += f""" UNION ALL SELECT substr(prefix, 1, {depth}), sha256(string_agg(prefix || digest, ',' ORDER BY prefix || digest)), sum(n)
+  FROM l{depth + 1} GROUP BY 1"""
+    return f"l{depth} AS ({rows})"
+
+
+@query("sample_tree", "games", f""", ids AS (SELECT CAST(game_id AS VARCHAR) AS id, md5(CAST(game_id AS VARCHAR)) AS h
+  FROM games WHERE outcome IS NOT NULL),
+ deep AS (SELECT min(d) AS depth FROM range(8) r(d) WHERE 64 * pow(16, d) >= (SELECT count(*) FROM ids)),
+ {", ".join(_level(d) for d in range(7, -1, -1))}
+{" UNION ALL ".join(f"SELECT {d} AS level, prefix, digest, CAST(n AS BIGINT) AS n FROM l{d}" for d in range(8))}""")
+def _(t):
+    """Every node of the digest tree over the played events; the depth follows their number."""
+    return idtree.hash_tree(t.games().where("outcome is not null").select("game_id"), "game_id", leaf_size=64)
+
+
+@query("tree_difference", "games quotes", """, l AS (SELECT game_id AS id, count(*) AS n FROM games WHERE outcome IS NOT NULL GROUP BY 1),
+ r AS (SELECT id, 1 AS n FROM (SELECT DISTINCT game_id AS id FROM quotes WHERE game_id IS NOT NULL))
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN coalesce(l.n, 0) > coalesce(r.n, 0) THEN 'left' ELSE 'right' END AS side,
+  CAST(abs(coalesce(l.n, 0) - coalesce(r.n, 0)) AS BIGINT) AS copies FROM l FULL JOIN r USING (id) WHERE coalesce(l.n, 0) <> coalesce(r.n, 0)""")
+def _(t):
+    """Played events against quoted events, found leaf by leaf."""
+    played = t.games().where("outcome is not null").select("game_id")
+    return idtree.tree_difference(played, t.quotes().select("game_id").distinct(), "game_id", leaf_size=64)
+
+
 @query("coverage_check", "forecasts", """, models AS (SELECT DISTINCT model FROM forecasts),
  side AS (SELECT model, game_id, count(*) AS n, min(outcome) AS o, min(CAST(fixture_start AS VARCHAR)) AS s FROM forecasts GROUP BY ALL),
  fixtures AS (SELECT model, game_id, outcome AS o, CAST(start_time AS VARCHAR) AS s FROM games, models)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_sign
+from ..plans.hubs import CELL_PAIRS, hub_join
 from ..plans.ordered import ranked
 
 
@@ -257,14 +258,16 @@ def node_atlas(nodes: DataFrame, roles: list[tuple[str, Column]], support: DataF
 
 
 def edge_arrivals(emissions: DataFrame, edges: DataFrame, phases: list[tuple[str, int, int]], horizon: int, delay: int = 9,
-                  refractory: int = 11) -> DataFrame:
+                  refractory: int = 11, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """Every emission crosses every outgoing edge and lands ``delay`` steps later.
 
     It is accepted when the target's previous event lies at least ``refractory`` steps back, and pending beyond the
     horizon. Arrivals are summed per (trial, target, step, family) before the as-of lookup, so a target's window is
-    bounded by the horizon. Result: totals per (trial, phase, family, status).
+    bounded by the horizon. A hub's emissions and edges meet in a grid of cells. Result: totals per (trial, phase, family,
+    status).
     """
-    landed = emissions.withColumnRenamed("node", "pre").join(edges, "pre").groupBy(
+    crossed = hub_join(emissions.withColumnRenamed("node", "pre"), edges, "pre", ["trial", "step"], ["post"], cell_pairs)
+    landed = crossed.groupBy(
         "trial", F.col("post").alias("node"), (F.col("step") + delay).alias("due"), "family").agg(
         F.count(F.lit(1)).alias("edge_events"), F.sum("contacts").alias("contact_events"))
     own = emissions.select("trial", "node", F.col("step").alias("due"), F.col("step").alias("event"))

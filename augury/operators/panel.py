@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import clip_scale
-from ..plans.ordered import exact_quantiles, first_rows
+from ..plans.ordered import exact_quantiles, first_rows, ranked
+from ..plans.session import stable
 
 
 def when_sum(condition: Column, value: Column) -> Column:
@@ -112,21 +113,33 @@ def contrast_criteria(rows: DataFrame, null_arms: list[str], ratio: float = 3.0)
 
 
 def pairwise_jaccard(members: DataFrame, set_name: str, member: str) -> DataFrame:
-    """Overlap of every pair of declared sets.
+    """Overlap of every pair of declared sets; rows without a set or a member are left out.
 
-    Members are first reduced to the list of sets they belong to and equal lists are counted, so pairs are formed
-    once per distinct list and not once per member.
+    Members become bits of 4 KB bitmaps per (set, bucket of 32,768 members), built in the map tasks, so members are not
+    shuffled and no row holds a set. Whole-number members are their own bit positions and should be dense; others get
+    dense numbers first. Bitmaps meet by bucket, and the overlap is both sizes less the size of the union.
     """
-    lists = members.groupBy(member).agg(F.array_sort(F.collect_set(set_name)).alias("sets"))
-    patterns = lists.groupBy("sets").agg(F.count(F.lit(1)).alias("n"))
-    pairs = patterns.select("n", F.explode("sets").alias("a"), "sets").select(
-        "n", "a", F.explode("sets").alias("b")).where("a <= b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    sizes = pairs.where("a = b").select(F.col("a").alias("name"), F.col("shared").alias("size"))
+    rows = members.select(F.col(set_name).alias("name"), F.col(member).alias("member")).where(
+        "name is not null and member is not null")
+    if dict(rows.dtypes)["member"] not in ("tinyint", "smallint", "int", "bigint"):
+        numbers = ranked(rows.select("member").distinct(), [], [F.col("member")], rank="number")
+        rows = rows.join(numbers, "member").select("name", F.col("number").alias("member"))
+    place = F.col("member").cast("long")
+    bits = rows.groupBy("name", F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).withColumn("size", F.bitmap_count("bits"))
+    bits = stable(bits)
+    sizes = bits.groupBy("name").agg(F.sum("size").alias("size"))
+    left, right = (bits.select("bucket", F.col("name").alias(n), F.struct("bits", "size").alias(f"in_{n}")) for n in ("a", "b"))
+    met = left.join(right, "bucket").where("a < b").select(
+        "bucket", "a", "b", (F.col("in_a.size") + F.col("in_b.size")).alias("both"),
+        F.explode(F.array("in_a.bits", "in_b.bits")).alias("bits"))
+    unions = met.groupBy("a", "b", "bucket").agg((F.first("both") - F.bitmap_count(F.bitmap_or_agg("bits"))).alias("shared"))
+    pairs = unions.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     names = sizes.agg(F.array_sort(F.collect_list("name"))).scalar()
     every = sizes.select(F.col("name").alias("a"), F.col("size").alias("size_a"), names.alias("names")).select(
         "a", "size_a", F.explode(F.filter("names", lambda x: x > F.col("a"))).alias("b"))
     rows = every.join(sizes.select(F.col("name").alias("b"), F.col("size").alias("size_b")), "b").join(
-        pairs.where("a < b"), ["a", "b"], "left")
+        pairs, ["a", "b"], "left")
     shared = F.coalesce("shared", F.lit(0))
     union = F.col("size_a") + F.col("size_b") - shared
     return rows.select("a", "b", shared.alias("shared"), (shared / F.greatest(union, F.lit(1))).alias("jaccard"))
