@@ -1,7 +1,7 @@
 """Structured Streaming jobs: merged schedules, first-write ledgers, lateness, scores and ratings.
 
 Batches are appended as ``batch=N`` folders (a retried batch overwrites its own folder, so each batch counts once),
-and the current table is a keyed maximum over the log. ``compact`` folds old batches into one.
+and the current table is a keyed maximum over the log. The first-write ledger has one folder per period above them. ``compact`` folds old batches into one.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.fixtures import event_time, usable_final
 from ..operators.ledger import score_forecasts
 from ..operators.matching import SEASON_PAIR_LEAGUES, merge_log
 from ..operators.rating import OTHER_STEP, STEP, advance
+from ..plans.session import stable
 
 
 def read_stream(spark: SparkSession, schema, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -59,26 +61,50 @@ def compact(spark: SparkSession, log: str, target: str, leagues: Sequence[str] =
     merge_log(rows, "batch", leagues, observed).write.mode("overwrite").parquet(f"{target}/batch={last}")
 
 
-def written(spark: SparkSession, folder: str) -> bool:
+def written(spark: SparkSession, folder: str, column: str) -> bool:
     """Whether a table has any partition yet. Any other trouble with the folder is an error, never an empty table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{column}=*")
     return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []) > 0
 
 
 # --- first-write ledger ---------------------------------------------------------------------------------------
 
+#: Most periods that are named to the scan; a batch of more periods is matched by a join.
+NAMED_PERIODS = 10_000
+
+
+def known_keys(once: DataFrame, ledger: str, key: str, period: str, number: int) -> DataFrame:
+    """Keys that earlier batches wrote in the periods of this one.
+
+    The periods are named to the scan, which then lists and reads their folders only. The schema is given, so no
+    footer is read and a period such as ``01`` stays text.
+    """
+    fields = [f for f in once.schema if f.name != period]
+    schema = StructType([*fields, once.schema[period], StructField("batch", LongType())])
+    rows = once.sparkSession.read.schema(schema).parquet(ledger).where(F.col("batch") != number)
+    periods = once.select(period).distinct()
+    names = [r[0] for r in periods.limit(NAMED_PERIODS + 1).collect()]
+    if len(names) > NAMED_PERIODS:
+        other = periods.withColumnRenamed(period, "_period")
+        return rows.join(other, F.col(period).eqNullSafe(F.col("_period")), "left_semi").select(key)
+    named = F.col(period).isin([n for n in names if n is not None])
+    return rows.where(named | F.col(period).isNull() if None in names else named).select(key)
+
+
 def first_write(ledger: str, key: str, period: str) -> Callable[[DataFrame, int], None]:
-    """Insert-or-ignore. A key belongs to one period (the month of its event); only the batch's periods are read."""
+    """Insert-or-ignore. A key belongs to one period (the month of its event); only the batch's periods are read.
+
+    Folders are by period, then batch, so the months of a batch are found without listing the others. A batch that is
+    run again writes the same rows to the same folders. The batch is stored first and read from there.
+    """
     def write(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c != key]
-        once = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("saved_at")).alias("_r")).select(key, "_r.*")
-        if written(batch.sparkSession, ledger):
-            known = batch.sparkSession.read.parquet(ledger).where(F.col("batch") != number)
-            seen = known.join(once.select(period).distinct(), period, "left_semi").select(key)
-            once = once.join(seen, key, "left_anti")
+        once = stable(batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("saved_at")).alias("_r")).select(key, "_r.*"))
+        if written(batch.sparkSession, ledger, period):
+            once = once.join(known_keys(once, ledger, key, period, number), key, "left_anti")
         # Rebalancing by period gives few files per folder and still splits a busy period over tasks.
         once.withColumn("batch", F.lit(number)).hint("rebalance", period).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch", period).parquet(ledger)
+            "partitionOverwriteMode", "dynamic").partitionBy(period, "batch").parquet(ledger)
     return write
 
 
